@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,9 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import bpe_decode, bpe_encode
-from weftgraph.llm.common import table
+from weftgraph.llm.common import shared_dir, table
+from weftgraph.llm.exact_dedup import exact_groups
+from weftgraph.llm.sharding import pack_shards
+from weftgraph.llm.simhash import near_groups
+from weftgraph.llm.token_counts import prefix_token_counts, total_tokens
+from weftgraph.llm.token_files import ids_crc32, read_tokens, write_tokens
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
+END_ID = 2
+SHARDS = 40
+TOKEN_LIMIT = 4096
 
 
 def id_text(ids: str) -> F.Column:
@@ -31,7 +42,47 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.col("keep").alias("keep_id"),
+        F.col("n").alias("group_size"),
+        (F.col("id") == F.col("keep")).alias("kept"),
+        F.col("digest").alias("text_sha256"),
+    )
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_TOKENIZER), END_ID)
+    return ids_crc32(read_tokens(spark, path), ["doc_id", "start", "n_tokens"])
+
+
+def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_shards(table(spark, sf_dir, "documents"), SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = prefix_token_counts(sized, public_tokenizers.path(PIECE_MODEL), keep=["doc_id", "n_bytes"])
+    return counted.select("doc_id", "n_bytes", total_tokens("prefix_tokens").alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_exact_dedup": op2_exact_dedup,
+        "op4_token_files": op4_token_files,
+        "op6_vector_packing": op6_vector_packing,
+        "op7_token_counts": op7_token_counts,
+        "op9_simhash": op9_simhash,
     }
