@@ -44,7 +44,7 @@ _MOVES = {
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
+def classes() -> np.ndarray:
     """Class of every code point, and STOP at END.
 
     The library to match defines the classes by its own Unicode tables, so each class is
@@ -113,7 +113,7 @@ def _scan(f: np.ndarray, comp: np.ndarray, n: int, block: int = 32) -> np.ndarra
 
 def symbols(cps: np.ndarray) -> np.ndarray:
     """One automaton symbol per code point of a batch whose documents each end in END."""
-    kind = _classes()[cps]
+    kind = classes()[cps]
     nxt = np.empty_like(kind)
     nxt[:-1], nxt[-1] = kind[1:], STOP
     last = nxt < SPACE  # the next code point is no blank and no end

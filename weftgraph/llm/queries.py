@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.bpe import bpe_decode, bpe_encode
 from weftgraph.llm.common import shared_dir, table
 from weftgraph.llm.exact_dedup import exact_groups
+from weftgraph.llm.language import fit_languages, fold, identify
 from weftgraph.llm.sharding import pack_shards
 from weftgraph.llm.simhash import near_groups
 from weftgraph.llm.token_counts import prefix_token_counts, total_tokens
@@ -71,6 +72,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", total_tokens("prefix_tokens").alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id")) == 0)
+    model = fit_languages(docs.where(~F.col("held_out")))
+    return identify(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"]).withColumnRenamed("lang_score", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -84,5 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op6_vector_packing": op6_vector_packing,
         "op7_token_counts": op7_token_counts,
+        "op8_language": op8_language,
         "op9_simhash": op9_simhash,
     }

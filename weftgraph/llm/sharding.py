@@ -27,13 +27,16 @@ from weftgraph.llm.common import cut
 #: Bundles of small groups: the driver's work and the broadcast tables are bounded by it.
 BUNDLES = 4096
 DIMENSIONS = ("bytes", "tokens", "rows")
+#: Bytes weigh most: what is left uneven at the end, where few items are small, is then tokens or rows.
+WEIGHTS = (3.0, 1.0, 1.0)
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each item; vectors: one row of non-negative loads per item."""
+def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...]) -> np.ndarray:
+    """Shard of each item; vectors: one row of non-negative loads per item; weights of the dimensions."""
     total = vectors.sum(axis=0)
-    share = vectors / np.where(total > 0, total, 1)
-    residual = np.full((shards, vectors.shape[1]), 1 / shards)
+    scale = np.array(weights, float)
+    share = vectors / np.where(total > 0, total, 1) * scale
+    residual = np.tile(scale / shards, (shards, 1))
     out = np.zeros(len(vectors), np.int64)
     for i in np.lexsort((np.arange(len(share)), -share.max(axis=1))):
         best = int(np.argmax(residual @ share[i]))
@@ -47,7 +50,7 @@ def word_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
-def pack_shards(df: DataFrame, shards: int, id: str = "doc_id", text: str = "text", overhead: int = 16, bundles: int = BUNDLES, tokens: Column | None = None) -> DataFrame:
+def pack_shards(df: DataFrame, shards: int, id: str = "doc_id", text: str = "text", overhead: int = 16, bundles: int = BUNDLES, tokens: Column | None = None, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row for each input row: doc_id, size, text_crc32, shard, slot.
 
     `tokens`: each row's token count (default: words between blanks); `overhead`: bytes that a
@@ -87,7 +90,7 @@ def pack_shards(df: DataFrame, shards: int, id: str = "doc_id", text: str = "tex
     vectors = np.zeros((len(items), len(DIMENSIONS)))
     for c in cells:
         vectors[items[c["item"], c["piece"]]] += [c[d] for d in DIMENSIONS]
-    shard = pack(vectors, shards)
+    shard = pack(vectors, shards, weights)
     filled, plan = [0] * shards, []
     for c in cells:
         s = int(shard[items[c["item"], c["piece"]]])
