@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import bpe_decode, bpe_encode
 from weftgraph.llm.common import shared_dir, table
+from weftgraph.llm.decontaminate import contaminated
 from weftgraph.llm.exact_dedup import exact_groups
 from weftgraph.llm.language import fit_languages, fold, identify
+from weftgraph.llm.pii import KINDS, find_pii, of_kind, span_text
 from weftgraph.llm.sharding import pack_shards
 from weftgraph.llm.simhash import near_groups
 from weftgraph.llm.token_counts import prefix_token_counts, total_tokens
@@ -59,6 +61,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_crc32(read_tokens(spark, path), ["doc_id", "start", "n_tokens"])
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return find_pii(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(span_text("base").cast("binary"), 256).alias("base_sha256"), span_text("spans").alias("spans")
+    )
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_shards(table(spark, sf_dir, "documents"), SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -84,13 +93,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_exact_dedup": op2_exact_dedup,
         "op4_token_files": op4_token_files,
+        "op5_pii": op5_pii,
         "op6_vector_packing": op6_vector_packing,
         "op7_token_counts": op7_token_counts,
         "op8_language": op8_language,
         "op9_simhash": op9_simhash,
+        "op10_decontaminate": op10_decontaminate,
     }
