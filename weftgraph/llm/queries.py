@@ -19,6 +19,7 @@ from weftgraph.llm.sharding import pack_shards
 from weftgraph.llm.simhash import near_groups
 from weftgraph.llm.token_counts import prefix_token_counts, total_tokens
 from weftgraph.llm.token_files import ids_crc32, read_tokens, write_tokens
+from weftgraph.llm.url_filter import Rule, filter_urls
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +27,14 @@ PIECE_MODEL = "piece_bpe_32k.model"
 END_ID = 2
 SHARDS = 40
 TOKEN_LIMIT = 4096
+#: The explicit URL rules (fixed values).
+RULES = [
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+]
 
 
 def id_text(ids: str) -> F.Column:
@@ -55,6 +64,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_TOKENIZER), END_ID)
@@ -101,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_url_templates": op3_url_templates,
         "op4_token_files": op4_token_files,
         "op5_pii": op5_pii,
         "op6_vector_packing": op6_vector_packing,
