@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters handled in one vectorised step; a longer single text is a step of its own.
@@ -49,3 +50,22 @@ def steps(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int, int
         held += n
     if begin < len(lengths):
         yield begin, len(lengths)
+
+
+#: Rows up to which a small side is broadcast (about 40 bytes each); a larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def without(df: DataFrame, dropped: DataFrame, id: str = "doc_id", most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of `df` whose id is not in `dropped` (column id); null ids stay.
+
+    The ids are counted first: few are broadcast, so `df` is not shuffled; more are joined.
+    """
+    gone = cut(dropped)
+    gone = small(gone.select(F.col("id").alias("__gone")), gone.count(), most)
+    return df.join(gone, df[id] == gone["__gone"], "left_anti")

@@ -28,22 +28,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut
+from weftgraph.llm.common import cut, small
 
 WORDS, LEAST, RADIUS = 5, 0.8, 24
-#: Rows up to which a small side is broadcast (about 40 bytes each); a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """`df`, broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def shingles(words: Column, width: Column) -> Column:
     """Word shingles in order; `width` is at most the number of words."""
     return F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut
+from weftgraph.llm.common import cut, without
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -68,5 +68,4 @@ def exact_groups(
 
 def exact_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of `df` that stay: of equal texts, the row of the largest id. Columns as in `df`."""
-    kept = exact_groups(df, id, text, **how).where(F.col("id").eqNullSafe(F.col("keep"))).select("id").distinct()
-    return df.join(kept, df[id].eqNullSafe(kept["id"]), "left_semi")
+    return without(df, exact_groups(df, id, text, **how).where(F.col("id") != F.col("keep")).select("id"), id)
