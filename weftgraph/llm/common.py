@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters handled in one vectorised step; a longer single text is a step of its own.
-STEP_CHARS = 1_000_000
+STEP_CHARS = 500_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,12 @@ def with_fields(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name.lower() not in names] + list(fields))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows are whole documents, so batches to Python are bounded by bytes (8 MB unless the session says less)."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def steps(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of at most `most` characters, one row at least."""
     begin = held = 0

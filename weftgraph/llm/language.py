@@ -26,39 +26,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.bpe import appended
-from weftgraph.llm.common import steps, with_fields
+from weftgraph.llm.common import bounded_batches, steps, with_fields
 from weftgraph.llm.pretokenize import LETTER, code_points, classes
 from weftgraph.llm.slices import distinct_slices
 
 UNKNOWN = "und"
 #: Bounds of a model: labelled rows of the sample it is fitted on, words, languages, n-gram lengths.
-SAMPLE_ROWS, MODEL_WORDS, LANGUAGES, GRAMS = 8_000, 60_000, 64, (5, 4, 3, 2, 1)
-CACHE_WORDS = 400_000
+SAMPLE_ROWS, MODEL_WORDS, LANGUAGES, GRAMS = 8_000, 40_000, 64, (5, 4, 3, 2, 1)
+CACHE_WORDS = 150_000
 #: Pseudo-count of an unseen word or n-gram, and the weight of an n-gram score against a word's.
 SMOOTH, GRAM_WEIGHT = 0.5, 0.7
 
 
 @dataclass
 class LanguageModel:
-    """Scores by language for known words and n-grams."""
+    """Scores by language: row numbers of known words and n-grams, and the rows."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
+    words: dict[str, int]
+    grams: dict[str, int]
+    rows: np.ndarray
+    seen: dict[str, int] = field(default_factory=dict)
 
     def word(self, w: str) -> np.ndarray:
         known = self.words.get(w)
         if known is not None:
-            return known
+            return self.rows[known]
         marked = f"^{w}$"
         for n in GRAMS:
-            table = self.grams[n]
-            found = [table[g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in table]
+            found = [self.grams[g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in self.grams]
             if found:
-                return np.mean(found, axis=0) * GRAM_WEIGHT
+                return self.rows[found].mean(axis=0) * GRAM_WEIGHT
         return np.zeros(len(self.languages), np.float32)
 
+    def word_rows(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word, through a bounded cache."""
+        seen = self.seen
+        if not seen or len(seen) > CACHE_WORDS:
+            seen.clear()
+            self.kept = np.zeros((1024, len(self.languages)), np.float32)
+        for w in words:
+            if w not in seen:
+                at = seen[w] = len(seen)
+                if at == len(self.kept):
+                    self.kept = np.concatenate([self.kept, np.zeros_like(self.kept)])
+                self.kept[at] = self.word(w.lower())
+        return self.kept[[seen[w] for w in words]]
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text."""
         joined, cps, stops = code_points(texts)
@@ -68,17 +82,8 @@ class LanguageModel:
         if not len(starts) or not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         which, first = distinct_slices(cps, starts, ends)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        rows = []
-        for a, b in zip(starts[first].tolist(), ends[first].tolist()):
-            w = joined[a:b]
-            row = cache.get(w)
-            if row is None:
-                row = cache[w] = self.word(w.lower())
-            rows.append(row)
-        sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(np.stack(rows)[which], axis=0, dtype=np.float64)])
+        scores = self.word_rows([joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+        sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(scores[which], axis=0, dtype=np.float64)])
         upto = np.searchsorted(starts, stops)
         fro = np.concatenate([[0], upto[:-1]])
         total = sums[upto] - sums[fro]
@@ -90,14 +95,11 @@ class LanguageModel:
         return [UNKNOWN if e else self.languages[i] for i, e in zip(best.tolist(), none.tolist())], np.where(none, 0.0, odds[np.arange(len(best)), best])
 
 
-def _log_frequencies(counts: dict[str, dict[str, float]], languages: list[str]) -> dict[str, np.ndarray]:
+def _log_frequencies(counts: dict[str, dict[str, float]], languages: list[str]) -> np.ndarray:
     """Per item, the log of its smoothed share in each language, less the mean over the languages."""
-    totals = np.array([sum(c.get(x, 0) for c in counts.values()) for x in languages]) + SMOOTH * max(1, len(counts))
-    out = {}
-    for item, c in counts.items():
-        row = np.log((np.array([c.get(x, 0.0) for x in languages]) + SMOOTH) / totals)
-        out[item] = (row - row.mean()).astype(np.float32)
-    return out
+    table = np.array([[c.get(x, 0.0) for x in languages] for c in counts.values()]).reshape(len(counts), len(languages)) + SMOOTH
+    rows = np.log(table / table.sum(axis=0, keepdims=True)) if len(counts) else table
+    return (rows - rows.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
 def fit_languages(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, words: int = MODEL_WORDS) -> LanguageModel:
@@ -114,13 +116,18 @@ def fit_languages(labelled: DataFrame, id: str = "doc_id", text: str = "text", l
     languages = sorted(r["lang"] for r in picked.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
     top = counts.where(F.col("lang").isin(languages)).groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("n"), "word").limit(words).collect() if languages else []
     by_word = {r["word"]: {x["lang"]: float(x["n"]) for x in r["by"]} for r in top}
-    by_gram: dict[int, dict[str, Counter]] = {k: defaultdict(Counter) for k in GRAMS}
-    for w, c in by_word.items():
-        marked = f"^{w}$"
-        for k in GRAMS:
+    rows, grams = [_log_frequencies(by_word, languages)], {}
+    at = len(by_word)
+    for k in GRAMS:
+        by_gram: dict[str, Counter] = defaultdict(Counter)
+        for w, c in by_word.items():
+            marked = f"^{w}$"
             for i in range(len(marked) - k + 1):
-                by_gram[k][marked[i : i + k]].update(c)
-    return LanguageModel(languages, _log_frequencies(by_word, languages), {k: _log_frequencies(g, languages) for k, g in by_gram.items()})
+                by_gram[marked[i : i + k]].update(c)
+        rows.append(_log_frequencies(by_gram, languages))
+        grams |= dict(zip(by_gram, range(at, at + len(by_gram))))
+        at += len(by_gram)
+    return LanguageModel(languages, dict(zip(by_word, range(len(by_word)))), grams, np.concatenate(rows))
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang_pred: str = "lang_pred", score: str = "lang_score", keep: list[str] | None = None) -> DataFrame:
@@ -130,6 +137,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang_pred:
     names = schema.names
     source = "__text"
     shared = df.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
