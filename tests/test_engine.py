@@ -179,3 +179,23 @@ def test_graph_files(example, spark, tmp_path):
     again = Graph.load(spark, str(tmp_path / "g"))
     assert listed(again.edges.select(*example.edges.columns)) == listed(example.edges)
     assert listed(example.neighbours(spark.createDataFrame([(5,)], "id long"), 5)) == [(5, 4), (5, 7)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from weftgraph.__main__ import main
+
+    (tmp_path / "q").mkdir()
+    for name, text in (("v", VERTICES), ("e", EDGES), ("u", UPDATES), ("q/Q1", EXAMPLE["Q1"]), ("q/Q5", EXAMPLE["Q5"])):
+        (tmp_path / f"{name}.txt").write_text(text)
+    main(["-v", f"{tmp_path}/v.txt", "-e", f"{tmp_path}/e.txt", "-q", f"{tmp_path}/q", "-u", f"{tmp_path}/u.txt", "-show", "true", "-explain", "true", "-out", f"{tmp_path}/out"])
+    said = capsys.readouterr().out
+    assert "Q1: 2\nQ5: 1\n" in said and "batch 0: 1 updates" in said and "root (1, 3, 5)" in said
+
+
+def test_empty_updates_in_a_batch(spark, tmp_path):
+    v, e, u = frames(spark, {0: 0, 1: 1}, [(0, 1, 3)], [("e", 1, 0, 1, 3)])
+    engine = StreamEngine(spark, str(tmp_path / "x"), SMALL[:1])
+    engine.start_from(v, e)
+    engine.process(u.limit(0), 0)
+    engine.process(u, 1)
+    assert listed(engine.totals()) == [(0, 0)]
