@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import steps, with_fields
+from weftgraph.llm.common import bounded_batches, fresh, steps, with_fields
 from weftgraph.llm.pretokenize import code_points, pieces
 from weftgraph.llm.slices import distinct_slices
 
@@ -203,7 +203,8 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
     kept = df.columns if keep is None else keep
     schema = with_fields(df.select(*kept).schema, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(offsets, T.ArrayType(T.IntegerType())))
     names = schema.names
-    source = "__text"
+    source = fresh(df, "text")
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
@@ -221,7 +222,8 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decod
     kept = df.columns if keep is None else keep
     schema = with_fields(df.select(*kept).schema, T.StructField(decoded, T.BinaryType()))
     names = schema.names
-    source = "__ids"
+    source = fresh(df, "ids")
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.functions.lineage import cut, shared_dir
+
+__all__ = ["bounded_batches", "cut", "fresh", "shared_dir", "small", "steps", "table", "with_fields", "without"]
+
 #: Characters handled in one vectorised step; a longer single text is a step of its own.
 STEP_CHARS = 500_000
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -18,29 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where the session names none (tests) a local one is set."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut through the shared folder (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def with_fields(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     """`schema` with `fields` at its end; an older column of such a name is replaced."""
     names = {f.name.lower() for f in fields}
     return T.StructType([f for f in schema.fields if f.name.lower() not in names] + list(fields))
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that `df` does not have."""
+    name, taken = f"__{stem}", {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Rows are whole documents, so batches to Python are bounded by bytes (8 MB unless the session says less)."""
     if spark.conf.get(BATCH_BYTES) == "67108864b":
@@ -69,10 +63,10 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def without(df: DataFrame, dropped: DataFrame, id: str = "doc_id", most: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of `df` whose id is not in `dropped` (column id); null ids stay.
+    """The rows of `df` whose id is not in `dropped` (column id); null ids stay, rows that repeat an id share its fate.
 
     The ids are counted first: few are broadcast, so `df` is not shuffled; more are joined.
     """
-    gone = cut(dropped)
-    gone = small(gone.select(F.col("id").alias("__gone")), gone.count(), most)
-    return df.join(gone, df[id] == gone["__gone"], "left_anti")
+    gone, name = cut(dropped), fresh(df, "gone")
+    gone = small(gone.select(F.col("id").alias(name)), gone.count(), most)
+    return df.join(gone, df[id] == gone[name], "left_anti")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import steps
+from weftgraph.llm.common import bounded_batches, steps
 from weftgraph.llm.components import connected_components
 
 SEED = 42
@@ -56,6 +56,7 @@ def fingerprint(text: str, words: int) -> int:
 def fingerprints(df: DataFrame, words: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, fp (the 64 bits as a signed long) of each row."""
     kind = df.schema[id].dataType.simpleString()
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
