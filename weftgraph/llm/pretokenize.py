@@ -28,6 +28,8 @@ SYMBOLS = 9
 # states: nothing open, in letters, in numbers, in others, in blanks, after a joining space, contraction letters to come
 FREE, IN_L, IN_N, IN_O, IN_W, JOINED, LEFT1, LEFT2 = range(8)
 STATES = 8
+#: Room for the ids of composed functions (there are a few dozen).
+WIDTH = 64
 
 #: symbol -> (default next state, {state: next state} exceptions, states that the symbol continues)
 _MOVES = {
@@ -81,31 +83,31 @@ def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             if h not in known:
                 known[h] = len(known)
                 todo.append(h)
-    n = len(known)
     fs = list(known)
-    comp = np.zeros((n, n), np.uint8 if n < 256 else np.uint16)
+    assert len(fs) <= WIDTH
+    comp = np.zeros((WIDTH, WIDTH), np.uint16)
     for i, f in enumerate(fs):
         for j, g in enumerate(fs):
             comp[i, j] = known[tuple(g[x] for x in f)]
-    return (np.array([known[g] for g in gens], comp.dtype), comp.ravel(), np.array(fs, np.uint8).ravel(), bound.ravel())
+    return (np.array([known[g] for g in gens], np.uint16), comp.ravel(), np.array(fs, np.uint8).ravel(), bound.ravel())
 
 
-def _scan(f: np.ndarray, comp: np.ndarray, n: int, block: int = 32) -> np.ndarray:
+def _scan(f: np.ndarray, comp: np.ndarray, block: int = 32) -> np.ndarray:
     """Inclusive prefix composition of function ids."""
     if len(f) <= block:
         out = f.copy()
         for i in range(1, len(f)):
-            out[i] = comp[int(out[i - 1]) * n + int(f[i])]
+            out[i] = comp[int(out[i - 1]) * WIDTH + int(f[i])]
         return out
     rows = -(-len(f) // block)
     padded = np.zeros(rows * block, f.dtype)  # id 0 is the identity
     padded[: len(f)] = f
     cols = np.ascontiguousarray(padded.reshape(rows, block).T)
     for j in range(1, block):
-        cols[j] = comp[cols[j - 1].astype(np.int32) * n + cols[j]]
+        cols[j] = comp[cols[j - 1] * np.uint16(WIDTH) + cols[j]]
     before = np.zeros(rows, f.dtype)
-    before[1:] = _scan(cols[-1], comp, n, block)[:-1]
-    before = before.astype(np.int32) * n
+    before[1:] = _scan(cols[-1], comp, block)[:-1]
+    before = before * np.uint16(WIDTH)
     for j in range(block):
         cols[j] = comp[before + cols[j]]
     return cols.T.ravel()[: len(f)]
@@ -147,11 +149,10 @@ def pieces(cps: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(piece starts, piece ends, number of pieces of each text) of `code_points`."""
     gen, comp, by_state, bound = _monoid()
     sym = symbols(cps)
-    n = len(by_state) // STATES
-    after = by_state[_scan(gen[sym], comp, n).astype(np.int32) * STATES + FREE]
+    after = by_state[_scan(gen[sym], comp) * np.uint16(STATES) + np.uint16(FREE)]
     before = np.empty_like(after)
     before[0], before[1:] = FREE, after[:-1]
-    starts = np.flatnonzero(bound[before.astype(np.int32) * SYMBOLS + sym])
+    starts = np.flatnonzero(bound[before * np.uint8(SYMBOLS) + sym])
     ends = np.append(starts[1:], len(cps))
     real = sym[starts] != HALT
     per = np.diff(np.searchsorted(starts[real], stops), prepend=0)

@@ -40,12 +40,18 @@ def distinct_slices(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     first[which[::-1]] = np.arange(len(starts) - 1, -1, -1)
     rep = first[which]
     bad = length != length[rep]
-    at = np.repeat(starts[rep] - starts, np.where(bad, 0, length))
-    where = np.flatnonzero(~bad)
-    inside = np.repeat(starts[where] - (np.cumsum(length[where]) - length[where]), length[where]) + np.arange(int(length[where].sum()))
-    off = cps[inside] != cps[inside + at]
+    # compare every code point of a slice with the one at its place in the class's first slice
+    shift = np.where(bad, 0, starts[rep] - starts).astype(np.int32)
+    covered = np.where(bad, 0, length)
+    if len(starts) and int(covered.sum()) == int(ends[-1] - starts[0]) and (starts[1:] == ends[:-1]).all():
+        inside = np.arange(starts[0], ends[-1], dtype=np.int32)  # the slices cover the array without gaps
+        mine = cps[starts[0] : ends[-1]]
+    else:
+        inside = np.repeat((starts - (np.cumsum(covered) - covered)).astype(np.int32), covered) + np.arange(int(covered.sum()), dtype=np.int32)
+        mine = cps[inside]
+    off = mine != cps[inside + np.repeat(shift, covered)]
     if off.any():
-        bad[np.repeat(where, length[where])[off]] = True
+        bad |= np.bincount(np.repeat(np.arange(len(starts)), covered)[off], minlength=len(starts)) > 0
     odd = np.flatnonzero(bad)
     which[odd] = len(first) + np.arange(len(odd))
     return which, np.concatenate([first, odd])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import PieceCache, int_lists
-from weftgraph.llm.common import steps
+from weftgraph.llm.common import bounded_batches, fresh, steps
 
 #: Writer settings: version 2 pages give delta encoding where no dictionary is kept.
 WRITER = {
@@ -44,6 +44,9 @@ WRITER = {
     "parquet.columnindex.truncate.length": "64",
 }
 
+#: Distinct words that the library encodes in one text.
+JOINT_WORDS = 5_000
+
 
 class LibraryEncoder:
     """Ids as the tokenizers library gives them.
@@ -60,11 +63,27 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache = PieceCache(self._whole)
+        self.cache = PieceCache(self._pieces)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, new: list[str]) -> list[list[int]]:
+        """Ids of distinct pieces. Words after one blank are encoded in one text, as the library
+        cuts it at the same blanks and numbers its words; the rest are encoded each alone."""
+        joint = [w for w in new if len(w) > 1 and w[0] == " " and w[1] != " " and w[1:].isalpha()]
+        known: dict[str, list[int]] = {}
+        for at in range(0, len(joint), JOINT_WORDS):
+            some = joint[at : at + JOINT_WORDS]
+            got = self.library.encode("".join(some), add_special_tokens=False)
+            ids, number = got.ids, np.array(got.word_ids, np.int64)
+            if len(number) and number[-1] + 1 == len(some):
+                cuts = np.searchsorted(number, np.arange(len(some) + 1)).tolist()
+                known |= {w: ids[a:b] for w, a, b in zip(some, cuts, cuts[1:])}
+        rest = [w for w in new if w not in known]
+        known |= zip(rest, self._whole(rest))
+        return [known[w] for w in new]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
         ids, per = self.cache.encode(texts if not odd else ["" if i in set(odd) else t for i, t in enumerate(texts)])
@@ -84,6 +103,7 @@ def encoder(path: str) -> LibraryEncoder:
 def tokenised(df: DataFrame, tokenizer: str, end_id: int, files: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows in id order over `files` partitions: part, doc_id, local_start, n_tokens, ids."""
     ordered = df.select(df[id].cast("long").alias("doc_id"), df[text].cast("string").alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, code = TaskContext.get().partitionId(), 0, encoder(tokenizer)
@@ -124,13 +144,15 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 def ids_crc32(df: DataFrame, keep: list[str], ids: str = "ids") -> DataFrame:
     """`keep` and ids_crc32: unsigned crc32 of the ids as little-endian 32-bit integers; null ids count as none."""
     fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    source = fresh(df, "ids")
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("__ids")
+            column = batch.column(source)
             values = np.asarray(column.flatten()).astype("<i4", copy=False)
             ends = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))]).tolist()
             crc = [zlib.crc32(values[a:b]) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crc, pa.int64())], [*keep, "ids_crc32"])
 
-    return df.select(*keep, df[ids].alias("__ids")).mapInArrow(run, f"{fields}, ids_crc32 long")
+    return df.select(*keep, df[ids].alias(source)).mapInArrow(run, f"{fields}, ids_crc32 long")
