@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.bpe import Grown, appended, gather, int_lists
-from weftgraph.llm.common import steps, with_fields
+from weftgraph.llm.common import bounded_batches, fresh, steps, with_fields
 from weftgraph.llm.pretokenize import END, code_points
 from weftgraph.llm.slices import distinct_slices
 
 #: The library's mark for a blank (fixed value).
 MARK = "▁"
 CACHE_SEGMENTS = 400_000
+#: Code points of the prefixes whose states are kept.
+SHORT = 6
 
 
 class PieceModel:
@@ -56,6 +58,7 @@ class PieceModel:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.states: dict[str, tuple[str, int]] = {}
         self.start, self.length, self.counts = Grown(np.int64), Grown(np.int64), Grown(np.int32)
 
     def parts(self, symbols: list[str]) -> list[str]:
@@ -86,24 +89,37 @@ class PieceModel:
         return known
 
     def prefix_counts(self, segment: str) -> list[int]:
-        """Token counts of the prefixes of 1, 2, ... code points of a segment."""
-        score, longest, compatible = self.score, self.longest, self.compatible
+        """Token counts of the prefixes of 1, 2, ... code points of a segment.
+
+        States of short prefixes are kept, since many segments begin alike.
+        """
+        score, longest, pairs, states = self.score, self.longest, self.pairs, self.states
         last: list[str] = [""]
         count = [0]
         for end in range(1, len(segment) + 1):
+            prefix = segment[:end] if end <= SHORT else None
+            if prefix in states:
+                piece, n = states[prefix]
+                last.append(piece)
+                count.append(n)
+                continue
             ch = segment[end - 1]
             if ch not in score:  # bytes instead of a piece; they merge with nothing
                 last.append("")
                 count.append(count[-1] + len(ch.encode("utf-8")))
-                continue
-            for begin in range(max(0, end - longest), end):
-                piece = segment[begin:end]
-                if piece in score and (not (before := last[begin]) or compatible(before, piece)):
-                    last.append(piece)
-                    count.append(count[begin] + 1)
-                    break
             else:
-                raise AssertionError("no last token")
+                for begin in range(end - longest if end > longest else 0, end):
+                    piece = segment[begin:end]
+                    if piece in score:
+                        before = last[begin]
+                        if not before or (pairs[before, piece] if (before, piece) in pairs else self.compatible(before, piece)):
+                            last.append(piece)
+                            count.append(count[begin] + 1)
+                            break
+                else:
+                    raise AssertionError("no last token")
+            if prefix is not None:
+                states[prefix] = (last[end], count[end])
         return count[1:]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +171,8 @@ def prefix_token_counts(df: DataFrame, path: str, text: str = "text", counts: st
     kept = df.columns if keep is None else keep
     schema = with_fields(df.select(*kept).schema, T.StructField(counts, T.ArrayType(T.IntegerType())))
     names = schema.names
-    source = "__text"
+    source = fresh(df, "text")
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
