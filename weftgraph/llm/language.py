@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.bpe import appended
-from weftgraph.llm.common import bounded_batches, steps, with_fields
+from weftgraph.llm.common import bounded_batches, fresh, steps, with_fields
 from weftgraph.llm.pretokenize import LETTER, code_points, classes
 from weftgraph.llm.slices import distinct_slices
 
 UNKNOWN = "und"
 #: Bounds of a model: labelled rows of the sample it is fitted on, words, languages, n-gram lengths.
 SAMPLE_ROWS, MODEL_WORDS, LANGUAGES, GRAMS = 8_000, 40_000, 64, (5, 4, 3, 2, 1)
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 #: Pseudo-count of an unseen word or n-gram, and the weight of an n-gram score against a word's.
 SMOOTH, GRAM_WEIGHT = 0.5, 0.7
 
@@ -48,30 +48,42 @@ class LanguageModel:
     rows: np.ndarray
     seen: dict[str, int] = field(default_factory=dict)
 
-    def word(self, w: str) -> np.ndarray:
+    def parts(self, w: str) -> tuple[list[int], float]:
+        """(rows whose mean scores a word, weight): its own, or its longest n-grams of which any is known."""
         known = self.words.get(w)
         if known is not None:
-            return self.rows[known]
-        marked = f"^{w}$"
+            return [known], 1.0
+        marked, get = f"^{w}$", self.grams.get
         for n in GRAMS:
-            found = [self.grams[g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in self.grams]
+            found = [g for i in range(len(marked) - n + 1) if (g := get(marked[i : i + n])) is not None]
             if found:
-                return self.rows[found].mean(axis=0) * GRAM_WEIGHT
-        return np.zeros(len(self.languages), np.float32)
+                return found, GRAM_WEIGHT
+        return [], 0.0
 
     def word_rows(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word, through a bounded cache."""
         seen = self.seen
         if not seen or len(seen) > CACHE_WORDS:
             seen.clear()
-            self.kept = np.zeros((1024, len(self.languages)), np.float32)
-        for w in words:
-            if w not in seen:
-                at = seen[w] = len(seen)
-                if at == len(self.kept):
-                    self.kept = np.concatenate([self.kept, np.zeros_like(self.kept)])
-                self.kept[at] = self.word(w.lower())
-        return self.kept[[seen[w] for w in words]]
+            self.kept, self.filled = np.zeros((1024, len(self.languages)), np.float32), 0
+        new = [w for w in dict.fromkeys(words) if w not in seen]
+        if new:
+            flat, counts, weights = [], [], []
+            for w in new:
+                found, weight = self.parts(w.lower())
+                flat += found
+                counts.append(len(found))
+                weights.append(weight)
+            count = np.array(counts)
+            sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.rows[np.array(flat, np.int64)], axis=0, dtype=np.float64)])
+            ends = np.cumsum(count)
+            mean = (sums[ends] - sums[ends - count]) / np.maximum(count, 1)[:, None] * np.array(weights)[:, None]
+            while self.filled + len(new) > len(self.kept):
+                self.kept = np.concatenate([self.kept, np.zeros_like(self.kept)])
+            self.kept[self.filled : self.filled + len(new)] = mean
+            seen.update(zip(new, range(self.filled, self.filled + len(new))))
+            self.filled += len(new)
+        return self.kept[np.fromiter(map(seen.__getitem__, words), np.int64, len(words))]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text."""
@@ -97,8 +109,10 @@ class LanguageModel:
 
 def _log_frequencies(counts: dict[str, dict[str, float]], languages: list[str]) -> np.ndarray:
     """Per item, the log of its smoothed share in each language, less the mean over the languages."""
+    if not counts or not languages:
+        return np.zeros((len(counts), len(languages)), np.float32)
     table = np.array([[c.get(x, 0.0) for x in languages] for c in counts.values()]).reshape(len(counts), len(languages)) + SMOOTH
-    rows = np.log(table / table.sum(axis=0, keepdims=True)) if len(counts) else table
+    rows = np.log(table / table.sum(axis=0, keepdims=True))
     return (rows - rows.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -135,7 +149,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang_pred:
     kept = df.columns if keep is None else keep
     schema = with_fields(df.select(*kept).schema, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()))
     names = schema.names
-    source = "__text"
+    source = fresh(df, "text")
     shared = df.sparkSession.sparkContext.broadcast(model)
     bounded_batches(df.sparkSession)
 
