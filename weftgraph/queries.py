@@ -214,7 +214,7 @@ def _first_peer(g: Graph) -> DataFrame:
 
 def visited_expand_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
-    return visited_expand(g.edges.where(F.col("label") == PEERS), _first_peer(g), hops=6)
+    return visited_expand(g.edges.where(F.col("label") == PEERS), _first_peer(g))
 
 
 def sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
