@@ -21,3 +21,9 @@ def test_visited_expand_reaches_everything(spark, tmp_path):
     t.to_parquet(tmp_path / "customer.parquet")
     got = {r.id: r.distance for r in queries()["visited_expand_bfs"](spark, str(tmp_path)).collect()}
     assert got == {CUSTOMER * STRIDE + k: i for i, k in enumerate(t.c_custkey)}
+
+
+def test_neighbour_scan_takes_all_suppliers(spark):
+    t = pq.read_table(f"{DATA}/lineitem.parquet", columns=["l_orderkey", "l_suppkey"]).to_pandas().drop_duplicates()
+    got = {r.supplier: r.n_orders for r in queries()["neighbour_scan"](spark, DATA).collect()}
+    assert got == Counter(SUPPLIER * STRIDE + k for k in t.l_suppkey.tolist()) and len(got) > 5
