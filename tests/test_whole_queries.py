@@ -1,12 +1,13 @@
 """Registered queries against brute force over whole small tables, not against SQL that shares their bounds."""
 
 import os
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from weftgraph.queries import queries
-from weftgraph.sources.relational import CUSTOMER, PEER_RANGE, STRIDE, SUPPLIER
+from weftgraph.queries import graph, queries
+from weftgraph.sources.relational import CUSTOMER, PEER_RANGE, PEERS, STRIDE, SUPPLIER
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,3 +28,14 @@ def test_neighbour_scan_takes_all_suppliers(spark):
     t = pq.read_table(f"{DATA}/lineitem.parquet", columns=["l_orderkey", "l_suppkey"]).to_pandas().drop_duplicates()
     got = {r.supplier: r.n_orders for r in queries()["neighbour_scan"](spark, DATA).collect()}
     assert got == Counter(SUPPLIER * STRIDE + k for k in t.l_suppkey.tolist()) and len(got) > 5
+
+
+def test_resource_allocation_scores_all_peers(spark):
+    g = graph(spark, DATA)
+    near = defaultdict(set)
+    for r in g.edges.where(F.col("label") == PEERS).select("src", "dst").collect():
+        near[r.src].add(r.dst)
+    want = {(a, b): round(sum(1 / len(near[v]) for v in near[a] & near[b]), 6) for a in near for b in near[a] if a < b}
+    got = {(r.a, r.b): r.score for r in queries()["resource_allocation_index"](spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert any(a % 5 for a, _ in want)

@@ -226,7 +226,7 @@ def sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resource_allocation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = graph(spark, sf_dir).edges.where(F.col("label") == PEERS)
-    pairs = e.where((F.col("src") < F.col("dst")) & (F.col("src") % 5 == 0)).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    pairs = e.where(F.col("src") < F.col("dst")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     return resource_allocation(e, pairs).select("a", "b", F.round("score", 6).alias("score"))
 
 
