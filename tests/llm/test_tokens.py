@@ -17,7 +17,8 @@ from tokenizers import Tokenizer
 from weftgraph.llm import pretokenize as pre
 from weftgraph.llm.bpe import ByteBPE, bpe_decode, bpe_encode, load_ranks, merge
 from weftgraph.llm.slices import distinct_slices
-from weftgraph.llm.token_counts import PieceModel, longest_prefix, prefix_token_counts, total_tokens
+from weftgraph.llm.tables import KeyTable, ListCache
+from weftgraph.llm.token_counts import PieceModel, longest_prefix, prefix_token_counts, token_totals, total_tokens
 from weftgraph.llm.token_files import ids_crc32, read_tokens, write_tokens
 
 RANKS, TOKENIZER, PIECES = (P.path(x) for x in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -77,7 +78,7 @@ def test_slices_survive_hash_collisions(monkeypatch):
     text = "ab cd ab ef"
     cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     starts, ends = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11])
-    which, first = distinct_slices(cps, starts, ends)
+    which, first, _ = distinct_slices(cps, starts, ends)
     assert [text[starts[first[w]] : ends[first[w]]] for w in which] == ["ab", "cd", "ab", "ef"]
 
 
@@ -143,6 +144,43 @@ def test_every_prefix_count_is_exact(text):
 test_every_prefix_count_is_exact.models = (PieceModel(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXT, min_size=1, max_size=4))
+def test_totals_are_last_counts(texts):
+    model, library = test_every_prefix_count_is_exact.models
+    assert model.totals(texts).tolist() == [len(library.encode(t)) for t in texts]
+
+
+def test_cache_generations_and_collisions(monkeypatch):
+    """Words that are evicted, asked for again, or share a hash keep their own lists."""
+    made = []
+
+    def make(words):
+        made.extend(words)
+        lengths = np.array([len(w) for w in words])
+        return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32), lengths
+
+    cache, rng = ListCache(make, 20), random.Random(5)
+    for step in range(60):
+        words = list(dict.fromkeys("w" * rng.randint(1, 3) + str(rng.randint(0, 30)) for _ in range(12)))
+        text = " ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = ends - [len(w) for w in words]
+        cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        hashes = np.array([hash(w) % (7 if step % 2 else 1 << 60) for w in words], np.int64)
+        values, start, length = cache.take(text, cps, starts, ends, hashes)
+        assert ["".join(map(chr, values[a : a + n])) for a, n in zip(start, length)] == words
+    assert len(made) < 60 * 12
+
+
+def test_key_table():
+    rng = np.random.default_rng(2)
+    table, keys = KeyTable(8), rng.choice(1 << 40, 3000, replace=False)
+    for part in np.split(keys, 10):
+        table.put(part, (part % 1000).astype(np.int32))
+    assert (table.get(keys) == keys % 1000).all() and (table.get(keys + (1 << 41)) == -1).all() and len(table.get(keys[:0])) == 0
+
+
 def test_runs_of_blanks(pieces):
     model, library = pieces
     for n in (1, 7, 16, 17, 33, 70):
@@ -154,9 +192,11 @@ def test_counts_on_odd_rows(odd, none, pieces):
     _, library = pieces
     counted = prefix_token_counts(odd, PIECES)
     rows = counted.withColumn("n", total_tokens("prefix_tokens")).withColumn("cut", longest_prefix("prefix_tokens", 3)).collect()
+    totals = {(r.doc_id, r.text): r.n_tokens for r in token_totals(odd, PIECES).collect()}
     for r in rows:
         text = r.text or ""
         assert r.n == len(library.encode(text)) and len(r.prefix_tokens) == len(text) + 1
+        assert totals[r.doc_id, r.text] == r.n
         if len(text) < 100:
             assert r.cut == max(k for k in range(len(text) + 1) if len(library.encode(text[:k])) <= 3)
     assert prefix_token_counts(none, PIECES).count() == 0

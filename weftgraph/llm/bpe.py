@@ -12,7 +12,7 @@ through, but input columns named like an output column are replaced.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +23,12 @@ from pyspark.sql import types as T
 from weftgraph.llm.common import bounded_batches, fresh, steps, with_fields
 from weftgraph.llm.pretokenize import code_points, pieces
 from weftgraph.llm.slices import distinct_slices
+from weftgraph.llm.tables import KeyTable, ListCache, by_length, gather, merge_rows, padded
 
-#: Pieces a worker keeps; beyond that the cache starts anew (results do not depend on it).
-CACHE_PIECES = 400_000
+#: Pieces a generation of a worker's cache holds (results do not depend on it).
+CACHE_PIECES = 300_000
+#: Bytes of the pieces that are merged many at a time; longer ones are merged alone.
+JOINT_BYTES = 64
 
 
 @lru_cache(maxsize=4)
@@ -93,60 +96,22 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Grown:
-    """An array that grows at its end."""
+class PieceEncoder:
+    """Ids of texts from the ids of their pieces; `make` (unseen pieces -> flat ids, numbers of ids) fills a bounded cache."""
 
-    def __init__(self, dtype: type, room: int = 1024):
-        self.data, self.n = np.zeros(room, dtype), 0
-
-    def add(self, more: np.ndarray) -> None:
-        if self.n + len(more) > len(self.data):
-            self.data = np.concatenate([self.data[: self.n], np.zeros(max(len(self.data), len(more)), self.data.dtype)])
-        self.data[self.n : self.n + len(more)] = more
-        self.n += len(more)
-
-
-def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The slices values[start : start + length], one after another."""
-    total = np.cumsum(lengths)
-    n = int(total[-1]) if len(total) else 0
-    return values[np.repeat(starts - total + lengths, lengths) + np.arange(n)]
-
-
-class PieceCache:
-    """Ids of pieces, filled by `encode_new` (a list of unseen pieces -> their id lists)."""
-
-    def __init__(self, encode_new, most: int = CACHE_PIECES):
-        self.encode_new, self.most = encode_new, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.start, self.length = Grown(np.int32), Grown(np.int64), Grown(np.int64)
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = CACHE_PIECES):
+        self.cache = ListCache(make, most)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.place) > self.most:
-            self.clear()
         joined, cps, stops = code_points(texts)
         starts, ends, per = pieces(cps, stops)
-        which, first = distinct_slices(cps, starts, ends)
-        words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        place = self.place
-        new = [w for w in dict.fromkeys(words) if w not in place]
-        if new:
-            ids = self.encode_new(new)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start.add(self.ids.n + np.cumsum(lengths) - lengths)
-            self.length.add(lengths)
-            self.ids.add(np.fromiter((x for y in ids for x in y), np.int32, int(lengths.sum())))
-            place.update(zip(new, range(len(place), len(place) + len(new))))
-        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))[which]
-        lengths = self.length.data[at]
-        flat = gather(self.ids.data, self.start.data[at], lengths)
+        which, first, hashes = distinct_slices(cps, starts, ends)
+        values, start, length = self.cache.take(joined, cps, starts[first], ends[first], hashes)
+        lengths = length[which]
+        flat = gather(values, start[which], lengths)
         until = np.concatenate([[0], np.cumsum(lengths)])
-        cut = np.cumsum(per)
-        return flat, np.diff(until[cut], prepend=0)
+        return flat, np.diff(until[np.cumsum(per)], prepend=0)
 
 
 class ByteBPE:
@@ -162,7 +127,29 @@ class ByteBPE:
             self.size[i] = len(token)
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.at = np.cumsum(self.size) - self.size
-        self.cache = PieceCache(lambda new: [merge(w.encode("utf-8"), ranks) for w in new])
+        self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.order = np.arange(size, dtype=np.int32)  # an id is its rank
+        found = [(ranks[a] * size + ranks[b], i) for t, i in ranks.items() for k in range(1, len(t)) if (a := t[:k]) in ranks and (b := t[k:]) in ranks]
+        self.joins = KeyTable(2 * len(found))
+        self.joins.put(np.array([k for k, _ in found], np.int64), np.array([i for _, i in found], np.int32))
+        self.cache = PieceEncoder(self.merged)
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces, number of each): whole tokens, the rest by pair merging."""
+        raw = [w.encode("utf-8") for w in words]
+        get = self.ranks.get
+        whole = [get(x) for x in raw]
+        parts: list[np.ndarray | list[int] | None] = [None if i is None else [i] for i in whole]
+        joint = [k for k, i in enumerate(whole) if i is None and len(raw[k]) <= JOINT_BYTES]
+        lengths = np.fromiter((len(raw[k]) for k in joint), np.int64, len(joint))
+        symbols = self.byte_id[np.frombuffer(b"".join([raw[k] for k in joint]), np.uint8)]
+        starts = np.cumsum(lengths) - lengths
+        for rows in by_length(lengths):
+            ids, per = merge_rows(padded(symbols, starts[rows], lengths[rows], 0), lengths[rows], self.joins, len(self.size), self.order)
+            for k, one in zip(rows.tolist(), np.split(ids, np.cumsum(per)[:-1])):
+                parts[joint[k]] = one
+        parts = [merge(raw[k], self.ranks) if x is None else x for k, x in enumerate(parts)]
+        return np.concatenate(parts).astype(np.int32, copy=False), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, byte offset of each in its text, number of ids of each text)."""

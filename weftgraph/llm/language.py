@@ -93,7 +93,7 @@ class LanguageModel:
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if not len(starts) or not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        which, first = distinct_slices(cps, starts, ends)
+        which, first, _ = distinct_slices(cps, starts, ends)
         scores = self.word_rows([joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
         sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(scores[which], axis=0, dtype=np.float64)])
         upto = np.searchsorted(starts, stops)

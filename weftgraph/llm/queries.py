@@ -17,7 +17,7 @@ from weftgraph.llm.language import fit_languages, fold, identify
 from weftgraph.llm.pii import KINDS, find_pii, of_kind, span_text
 from weftgraph.llm.sharding import pack_shards
 from weftgraph.llm.simhash import near_groups
-from weftgraph.llm.token_counts import prefix_token_counts, total_tokens
+from weftgraph.llm.token_counts import token_totals
 from weftgraph.llm.token_files import ids_crc32, read_tokens, write_tokens
 from weftgraph.llm.url_filter import Rule, filter_urls
 
@@ -90,8 +90,8 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = prefix_token_counts(sized, public_tokenizers.path(PIECE_MODEL), keep=["doc_id", "n_bytes"])
-    return counted.select("doc_id", "n_bytes", total_tokens("prefix_tokens").alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    counted = token_totals(sized, public_tokenizers.path(PIECE_MODEL), keep=["doc_id", "n_bytes"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def distinct_slices(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class number of each slice, a slice of each class); slices of a class are equal.
+def distinct_slices(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class number of each slice, a slice of each class, its hash); slices of a class are equal.
 
     Rolling hashes group the slices; every slice is then compared in full with the first of
     its class, and those that differ (a hash collision) become classes of their own, so two
@@ -54,4 +54,5 @@ def distinct_slices(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
         bad |= np.bincount(np.repeat(np.arange(len(starts)), covered)[off], minlength=len(starts)) > 0
     odd = np.flatnonzero(bad)
     which[odd] = len(first) + np.arange(len(odd))
-    return which, np.concatenate([first, odd])
+    first = np.concatenate([first, odd])
+    return which, first, (key[first] >> np.uint64(1)).astype(np.int64)

@@ -21,6 +21,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.bpe import PieceCache, int_lists
+from weftgraph.llm.bpe import PieceEncoder, int_lists
 from weftgraph.llm.common import bounded_batches, fresh, steps
 
 #: Writer settings: version 2 pages give delta encoding where no dictionary is kept.
@@ -44,9 +45,6 @@ WRITER = {
     "parquet.columnindex.truncate.length": "64",
 }
 
-#: Distinct words that the library encodes in one text.
-JOINT_WORDS = 5_000
-
 
 class LibraryEncoder:
     """Ids as the tokenizers library gives them.
@@ -63,26 +61,16 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache = PieceCache(self._pieces)
+        self.cache = PieceEncoder(self._pieces)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, new: list[str]) -> list[list[int]]:
-        """Ids of distinct pieces. Words after one blank are encoded in one text, as the library
-        cuts it at the same blanks and numbers its words; the rest are encoded each alone."""
-        joint = [w for w in new if len(w) > 1 and w[0] == " " and w[1] != " " and w[1:].isalpha()]
-        known: dict[str, list[int]] = {}
-        for at in range(0, len(joint), JOINT_WORDS):
-            some = joint[at : at + JOINT_WORDS]
-            got = self.library.encode("".join(some), add_special_tokens=False)
-            ids, number = got.ids, np.array(got.word_ids, np.int64)
-            if len(number) and number[-1] + 1 == len(some):
-                cuts = np.searchsorted(number, np.arange(len(some) + 1)).tolist()
-                known |= {w: ids[a:b] for w, a, b in zip(some, cuts, cuts[1:])}
-        rest = [w for w in new if w not in known]
-        known |= zip(rest, self._whole(rest))
-        return [known[w] for w in new]
+    def _pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct pieces, number of each)."""
+        ids = self._whole(new)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
