@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -129,11 +129,17 @@ class ByteBPE:
         self.at = np.cumsum(self.size) - self.size
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.order = np.arange(size, dtype=np.int32)  # an id is its rank
-        found = [(ranks[a] * size + ranks[b], i) for t, i in ranks.items() for k in range(1, len(t)) if (a := t[:k]) in ranks and (b := t[k:]) in ranks]
-        self.joins = KeyTable(2 * len(found))
-        self.joins.put(np.array([k for k, _ in found], np.int64), np.array([i for _, i in found], np.int32))
         self.cache = PieceEncoder(self.merged)
 
+    @cached_property
+    def joins(self) -> KeyTable:
+        """a * size + b -> id of two joined tokens; made when a worker first encodes."""
+        size, ranks = len(self.size), self.ranks
+        found = [(ranks[a] * size + ranks[b], i) for t, i in ranks.items() for k in range(1, len(t)) if (a := t[:k]) in ranks and (b := t[k:]) in ranks]
+        table, both = KeyTable(2 * len(found)), np.array(found, np.int64).reshape(-1, 2)
+        table.put(both[:, 0], both[:, 1].astype(np.int32))
+        return table
+
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces, number of each): whole tokens, the rest by pair merging."""
         raw = [w.encode("utf-8") for w in words]

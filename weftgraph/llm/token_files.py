@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import PieceEncoder, int_lists
 from weftgraph.llm.common import bounded_batches, fresh, steps
+from weftgraph.llm.tables import gather
 
 #: Writer settings: version 2 pages give delta encoding where no dictionary is kept.
 WRITER = {
@@ -45,6 +46,9 @@ WRITER = {
     "parquet.columnindex.truncate.length": "64",
 }
 
+#: Words that the library encodes in one text.
+JOINT_WORDS = 1_000
+
 
 class LibraryEncoder:
     """Ids as the tokenizers library gives them.
@@ -60,17 +64,52 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size[list(vocabulary.values())] = list(map(len, vocabulary))  # a byte is one character of a token
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cache = PieceEncoder(self._pieces)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joint(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, number of each) of words encoded as one text, if each word's bytes are whole tokens there."""
+        ids = np.array(self._whole(["".join(words)])[0], np.int32)
+        ends = np.cumsum(np.fromiter((len(w.encode("utf-8")) for w in words), np.int64, len(words)))
+        until = np.cumsum(self.size[ids])
+        at = np.searchsorted(until, ends)
+        if until[-1] != ends[-1] or (until[at] != ends).any():
+            return None
+        return ids, np.diff(at, prepend=-1)
+
     def _pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of distinct pieces, number of each)."""
-        ids = self._whole(new)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
+        """(ids of distinct pieces, number of each).
+
+        Words after one blank are encoded many in one text, since the library cuts it at the same
+        blanks; where the words' bytes don't end with tokens, and for all else, each alone.
+        """
+        plain = [len(w) > 1 and w[0] == " " and w[1:].isalpha() for w in new]
+        joint = [i for i, p in enumerate(plain) if p]
+        alone = [i for i, p in enumerate(plain) if not p]
+        order, ids, counts = [], [], []
+        for at in range(0, len(joint), JOINT_WORDS):
+            some = joint[at : at + JOINT_WORDS]
+            got = self._joint([new[i] for i in some])
+            if got is None:
+                alone += some
+            else:
+                order += some
+                ids.append(got[0])
+                counts.append(got[1])
+        single = self._whole([new[i] for i in alone])
+        counts.append(np.fromiter(map(len, single), np.int64, len(single)))
+        ids.append(np.fromiter(chain.from_iterable(single), np.int32, int(counts[-1].sum())))
+        number, lengths = np.concatenate(counts), np.zeros(len(new), np.int64)
+        starts = np.zeros(len(new), np.int64)
+        order += alone
+        lengths[order], starts[order] = number, np.cumsum(number) - number
+        return gather(np.concatenate(ids), starts, lengths), lengths
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
