@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.components import connected_components
 from weftgraph.llm.decontaminate import contaminated
 from weftgraph.llm.exact_dedup import exact_dedup, exact_groups
-from weftgraph.llm.simhash import Forest, block_masks, fingerprint, links, near_groups
+from weftgraph.llm.simhash import Forest, Near, block_keys, block_links, block_masks, fingerprint, links, near_groups
 
 
 def lower_ascii(t):
@@ -88,7 +88,7 @@ def test_links_connect_like_all_pairs():
             if len(f) < 2:
                 continue
             every = [(i, j) for i in range(len(f)) for j in range(i) if int(np.bitwise_count(f[i] ^ f[j])) <= 3]
-            some = links(f, 3)
+            some = links(f[:, None], Near(3))
             assert len(some) < len(f) and set(map(frozenset, some)) <= set(map(frozenset, every))
             assert top_of(len(f), some) == top_of(len(f), every)
 
@@ -115,6 +115,28 @@ def test_near_groups(spark, odd, odd_rows, none):
     assert near_groups(none).count() == 0
 
 
+@pytest.mark.parametrize("heavy,bucket", [(16384, 4096), (20, 7)])
+def test_block_links_connect_like_all_pairs(spark, heavy, bucket):
+    """Dense balls, repeats of a key over batches, keys that are dealt to buckets, two words with a reach."""
+    rng = random.Random(3)
+    centres = [rng.getrandbits(64) for _ in range(3)]
+    rows = []
+    for i in range(500):
+        base = rng.choice(centres) if rng.random() < 0.8 else rng.getrandbits(64)
+        f0 = base ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 6))})
+        rows.append((i, f0, f0 ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 6))})))
+    signed = [(i, *(x - (1 << 64) if x >> 63 else x for x in f)) for i, *f in rows]
+    df = spark.createDataFrame(signed, "node long, f0 long, f1 long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    d = lambda x, y, k: (x[k] ^ y[k]).bit_count()
+    for radius, words, keys in ((3, 1, block_keys(F.col("f0"), 3, 6)), (9, 2, F.concat(block_keys(F.col("f0"), 4, 7), F.transform(block_keys(F.col("f1"), 4, 7), lambda k: -k - 1)))):
+        got = [tuple(r) for r in block_links(df, keys, radius, [F.col("f0"), F.col("f1")][:words], heavy=heavy, bucket=bucket).collect()]
+        every = [(x[0], y[0]) for x in rows for y in rows[: x[0]] if sum(d(x, y, k + 1) for k in range(words)) <= radius]
+        assert {frozenset(p) for p in got} <= {frozenset(p) for p in every}
+        assert top_of(500, got) == top_of(500, every) and len(every) > 1000
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)] + [(200, 200 + i) for i in range(1, 30)] + [(5, 5)]
@@ -170,3 +192,58 @@ def test_contaminated(spark):
     want = {k: round(v, 9) for k, v in brute_leaks(docs, items).items()}
     assert got == want and len(want) > 20
     assert contaminated(df, bench.limit(0)).count() == 0 and contaminated(df.limit(0), bench).count() == 0
+
+
+def edited_passages(rng, vocabulary, most):
+    """(items, documents): each document has an item with up to `most` words changed, dropped, added or cut off its ends."""
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(15, 60)))) for i in range(40)]
+    docs = []
+    for d in range(160):
+        leak = items[d % 40][1].split()
+        for _ in range(rng.randint(0, most)):
+            at = rng.choice([0, -1, rng.randrange(len(leak))])
+            leak[at:at + 1 or None] = rng.choice([[], ["edit"], [leak[at], "extra"]])
+        body = [rng.choice(vocabulary) for _ in range(rng.randint(0, 200))]
+        at = rng.randint(0, len(body))
+        docs.append((d, " ".join(body[:at] + leak + body[at:])))
+    return items, docs
+
+
+def test_recall_depends_on_the_radius(spark):
+    """All of brute force at the default radius, fewer at small ones; nothing else at any."""
+    rng = random.Random(12)
+    items, docs = edited_passages(rng, [f"w{i}" for i in range(3000)], 6)
+    want = set(brute_leaks(docs, items))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {r: {(x.doc_id, x.item_id) for x in contaminated(df, bench, radius=r, blocks=b).collect()} for r, b in ((0, 4), (4, 4), (17, 6))}
+    assert found[0] < found[4] < found[17] == want and len(found[0]) < 0.9 * len(want) and 60 < len(want) < 160
+
+
+def test_large_benchmarks_are_shuffled(spark):
+    rng = random.Random(13)
+    items, docs = edited_passages(rng, [f"w{i}" for i in range(500)], 3)
+    df, bench = spark.createDataFrame(docs[:60], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, contaminated(df, bench, most=0).collect())) == sorted(map(tuple, contaminated(df, bench).collect()))
+
+
+def test_contaminated_on_odd_rows(spark, odd):
+    """Null and repeated ids, very long texts, columns named like the operator's."""
+    long_item = "deep " * 40 + " ".join(f"v{i}" for i in range(30))
+    docs = odd.select("doc_id", "text", F.lit("x").alias("words"), F.lit(1).alias("n"), F.lit(2).alias("block")).unionByName(
+        spark.createDataFrame([(None, long_item), (50, "a " * 60000 + long_item), (50, "other"), (51, long_item)], "doc_id long, text string").select("doc_id", "text", F.lit("x").alias("words"), F.lit(1).alias("n"), F.lit(2).alias("block"))
+    )
+    bench = spark.createDataFrame([(1, long_item), (1, long_item), (2, None), (3, "Hello World its"), (None, "hello world it s 42 naïve cafés")], "item_id long, text string").withColumn("fp", F.lit(1))
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
+    assert got == {(None, 1), (50, 1), (51, 1), (4, None), (5, None)}
+
+
+def test_simhash_lanes(spark):
+    """Every lane width gives the plain majority of the words' hashes."""
+    from weftgraph.llm.decontaminate import simhash
+
+    texts = [["a"], ["a", "b"], ["a"] * 3 + ["b"] * 2, [f"w{i}" for i in range(127)], ["z"] * 127]
+    df = spark.createDataFrame([(t,) for t in texts], "w array<string>")
+    for most in (127, 1000, 40000):
+        for r in df.select("w", simhash(F.col("w"), most).alias("fp")).collect():
+            h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in r.w]
+            assert r.fp & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))

@@ -58,6 +58,160 @@ def test_templates(spark):
     assert filter_urls(df, [Rule("allow", "h.org", "/spam/")], bad=F.col("bad")).where("verdict = 'block'").count() == 0
 
 
+def test_branches_without_labels(spark):
+    """Merged where what follows is alike, else apart; purity comes from siblings and hosts as far as they agree."""
+    pages = [(f"http://a.net/{x}/{i}.html", 1) for x in ("es", "fr", "it") for i in range(9)]
+    pages += [(f"http://a.net/{x}/{i}.html", None) for x in ("en", "de") for i in range(9)]
+    pages += [(f"http://a.net/pt/{'abc'[i % 3]}/{i}", None) for i in range(9)]
+    pages += [(f"http://h{k}.b.net/{i}", 1) for k in range(6) for i in range(4)] + [("http://new.b.net/1", None), ("http://new.org/1", None)]
+    pages += [(f"http://c.com/{i}", 0) for i in range(60)]
+    df = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(pages)], "page_id long, url string, bad int")
+    rows = {r.page_id: r for r in filter_urls(df, [], bad=F.col("bad")).collect()}
+    assert {rows[i].template for i in range(27)} == {"/*/*.html"} and {rows[i].template for i in range(27, 45)} == {"/*~/*.html"}
+    assert {rows[i].template for i in range(45, 54)} <= {"/pt/a/*", "/pt/b/*", "/pt/c/*", "/pt/*~/*"}
+    n = len(pages)
+    fresh, other = rows[n - 62].purity, rows[n - 61].purity
+    assert fresh > 0.85 > other > 0.3 and rows[27].purity > 0.85
+
+
+def plain_tree(pages, many=20, rare=0.02, labels=5, z=1.64, weight=5.0, caution=2.0):
+    """[(template, purity)] of (url, bad) pages, node by node."""
+    from math import log, sqrt
+
+    def segs(path):
+        out = []
+        for s in path.split("/")[1:]:
+            m = re.fullmatch(r"[0-9a-f_-]*[0-9][0-9a-f_-]*(\.[A-Za-z0-9]{1,5})?", s)
+            out.append("*" + (m[1] or "") if m else s or "/")
+        return tuple(out)
+
+    rows = [((m := re.search(r"://([^/?#]*)([^?#]*)", u))[1], segs(m[2]), b) for u, b in pages]
+    all_ = [b for *_, b in rows if b is not None]
+    share = sum(all_) / len(all_)
+
+    def p(bs, q):
+        known = [b for b in bs if b is not None]
+        return (sum(known) + weight * q) / (len(known) + weight)
+
+    def q(bs, k, above):
+        return (k * p(bs, above) + caution * above) / (k + caution)
+
+    def prior(host):
+        parts, at = host.split("."), share
+        for i in range(len(parts) - 1, 0, -1):
+            suffix = ".".join(parts[i:])
+            below = [(h, b) for h, _, b in rows if h.endswith("." + suffix)]
+            own = [b for h, _, b in rows if h == suffix] + [b for _, b in below]
+            kids = {h[: -len(suffix) - 1].split(".")[-1] for h, b in below if b is not None}
+            at = q(own, len(kids), at)
+        return at
+
+    out = {}
+
+    def grow(host, done, level, node, above):
+        paths = {s for s, _ in node}
+        bs = [b for _, b in node]
+        if len(paths) == 1:
+            rest = next(iter(paths))[level:]
+            for s in paths:
+                out[host, s] = (done + ("/" + "/".join(rest) if rest else ""), above)
+            return
+        kids = {}
+        for s, b in node:
+            kids.setdefault(s[level] if len(s) > level else "", []).append((s, b))
+        lab = {c: [b for _, b in v if b is not None] for c, v in kids.items()}
+        k = sum(bool(v) for v in lab.values())
+        below = q(bs, k, above)
+        bare = [c for c in kids if len(lab[c]) < labels]
+        # the shape test leaves out paths that stop here; their rows still count as without labels
+        shape = {c: Counter(s[level + 1] if len(s) > level + 1 else "" for s, _ in kids[c]) for c in bare if c != ""}
+        among = sum(shape.values(), Counter())
+        total, pooled = sum(among.values()), [b for v in lab.values() for b in v]
+        bare_rows = sum(len(kids[c]) for c in bare)
+        groups = {}
+        for c, v in kids.items():
+            own, rest = len(lab[c]), len(pooled) - len(lab[c])
+            bad, pbad = sum(lab[c]), sum(pooled)
+            mean = pbad / max(1, len(pooled))
+            gap = abs(bad / max(1, own) - (pbad - bad) / max(1, rest))
+            noise = sqrt(mean * (1 - mean) * (1 / max(1, own) + 1 / max(1, rest)))
+            if c == "":
+                branch = ""
+            elif (len(kids) > many and len(v) < rare * len(node)) or (own >= labels and rest >= labels and gap <= z * noise):
+                branch = "*"
+            elif c in shape and len(v) >= labels and bare_rows - len(v) >= labels:
+                g = 2 * sum(x * log(x * total / (len(v) * among[t])) for t, x in shape[c].items())
+                d = max(1, len(among) - 1)
+                branch = "*~" if g <= d * (1 - 2 / (9 * d) + z * sqrt(2 / (9 * d))) ** 3 else c
+            else:
+                branch = c
+            groups.setdefault(branch, []).extend(v)
+        for branch, v in groups.items():
+            if branch == "":
+                for s, _ in v:
+                    out[host, s] = (done, below)
+            else:
+                grow(host, f"{done}/{branch}", level + 1, v, below)
+
+    for host in {h for h, *_ in rows}:
+        grow(host, "", 0, [(s, b) for h, s, b in rows if h == host], prior(host))
+    names = [(h, *out[h, s], b) for h, s, b in rows]
+    by, top = {}, {}
+    for h, t, above, b in names:
+        by.setdefault((h, t), []).append(b)
+        top[h, t] = max(above, top.get((h, t), 0))
+    return [(t, p(by[h, t], top[h, t])) for h, t, _, _ in names]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_tree_equals_brute_force(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    words = ["en", "de", "shop", "blog", "a", "b", "", "tag"]
+    pages = []
+    for _ in range(400):
+        host = rng.choice(["x.a.com", "y.a.com", "a.com", "b.net", "c.b.net", "d.org"])
+        path = "".join("/" + (rng.choice(words) if rng.random() < 0.6 else f"{rng.randint(0, 99)}{rng.choice(['', '.html'])}") for _ in range(rng.randint(0, 5)))
+        pages.append((f"http://{host}{path}", rng.choice([None, None, int("shop" in path or rng.random() < 0.2)])))
+    pages += [(f"http://d.org/u/{chr(97 + i % 26)}{chr(97 + i // 26)}{'/x' * (i % 3)}", rng.choice([None, 0, 1])) for i in range(120)]
+    df = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(pages)], "page_id long, url string, bad int")
+    rows = sorted(filter_urls(df, [], bad=F.col("bad")).collect(), key=lambda r: r.page_id)
+    want = plain_tree(pages)
+    assert [r.template for r in rows] == [t for t, _ in want]
+    assert max(abs(r.purity - x) for r, (_, x) in zip(rows, want)) < 1e-9
+
+
+def test_held_out_labels_are_predicted(spark):
+    """Rule verdicts that are hidden from the tree are told from it better than by their most frequent value."""
+    pages = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/pages.parquet").select("page_id", "url")
+    ruled = filter_urls(pages, RULES).where("rule IS NOT NULL").select("page_id", F.when(F.col("verdict") == "block", 1).otherwise(0).alias("bad"))
+    hidden = F.crc32(F.col("page_id").cast("string").cast("binary")) % 5 == 0
+    known = pages.join(ruled, "page_id", "left").withColumn("shown", F.when(~hidden, F.col("bad")))
+    out = filter_urls(known, [], bad=F.col("shown"), purity=0.5).join(known.where(hidden & F.col("bad").isNotNull()).select("page_id", "bad"), "page_id").collect()
+    right = np.mean([(r.verdict == "block") == bool(r.bad) for r in out])
+    constant = max(np.mean([r.bad for r in out]), 1 - np.mean([r.bad for r in out]))
+    assert len(out) > 150 and right > 0.95 > 0.75 > constant
+
+
+def test_purity_varies_without_rules(spark):
+    rows = queries()["op3_url_templates"](spark, DATA.replace("0.001", "0.1")).where("rule IS NULL").select("purity", "verdict").distinct().collect()
+    assert len({round(r.purity, 3) for r in rows}) > 5 and {r.verdict for r in rows} == {"allow", "block"}
+
+
+def test_odd_urls(spark):
+    """Null and repeated rows, null ids, very long and very deep paths, columns named like the operator's."""
+    deep, long = "http://h.org" + "/d" * 300, "http://h.org/" + "x" * 50000
+    urls = [None, None, "", deep, deep, long, long + "y", "http://h.org", "http://h.org/", "http://h.org//"]
+    df = spark.createDataFrame([(None if i == 1 else i // 2, u) for i, u in enumerate(urls)], "page_id long, url string")
+    for name in ("host", "segs", "bad", "done", "prior", "n", "template"):
+        df = df.withColumn(name, F.lit(1))
+    rows = filter_urls(df, RULES).collect()
+    assert len(rows) == len(urls) and all(r.verdict == "allow" for r in rows)
+    by = {r.path: r.template for r in rows if r.host}
+    assert by[deep[12:]] == deep[12:] and by[""] == "" and by["/"] == "//" and by["//"] == "////"
+
+
 # op 5
 
 BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,20 +53,35 @@ def steps(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int, int
         yield begin, len(lengths)
 
 
-#: Rows up to which a small side is broadcast (about 40 bytes each); a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a small side is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if rows <= most else df
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in a row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.coalesce(F.aggregate(value, F.lit(24).cast("long"), lambda acc, x: acc + _bytes(x, inner)), F.lit(24))
+        return 24 + 8 * F.greatest(F.size(value), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(16)
 
 
-def without(df: DataFrame, dropped: DataFrame, id: str = "doc_id", most: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, which must be cut or cheap, broadcast if its rows take at most `most` bytes, as summed up."""
+    total = df.agg(F.sum(sum((_bytes(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in df.schema.fields), F.lit(0)))).first()[0]
+    return F.broadcast(df) if (total or 0) <= most else df
+
+
+def without(df: DataFrame, dropped: DataFrame, id: str = "doc_id", most: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of `df` whose id is not in `dropped` (column id); null ids stay, rows that repeat an id share its fate.
 
-    The ids are counted first: few are broadcast, so `df` is not shuffled; more are joined.
+    The ids are measured first: few are broadcast, so `df` is not shuffled; more are joined.
     """
-    gone, name = cut(dropped), fresh(df, "gone")
-    gone = small(gone.select(F.col("id").alias(name)), gone.count(), most)
+    name = fresh(df, "gone")
+    gone = small(cut(dropped.select(F.col("id").alias(name))), most)
     return df.join(gone, df[id] == gone[name], "left_anti")
