@@ -32,6 +32,25 @@ def test_exact_groups(odd, odd_rows, digest):
     assert Counter((r.id, r.keep, r.n) for r in rows) == want
 
 
+@pytest.mark.parametrize("most", [0, 1 << 25])
+def test_exact_groups_joined_or_broadcast(spark, most):
+    """Hot and cold groups and single rows, with all sides broadcast or shuffled."""
+    rng = random.Random(21)
+    rows = [(i, rng.choice(["Hot", "hot", "HOT"]) if rng.random() < 0.4 else f"t{rng.randrange(1500)}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t.lower(), []).append(i)
+    got = sorted((r.id, r.keep, r.n) for r in exact_groups(df, most=most).collect())
+    assert got == sorted((i, max(g), len(g)) for g in groups.values() for i in g)
+    assert sorted(r.doc_id for r in exact_dedup(df, most=most).collect()) == sorted(max(g) for g in groups.values())
+
+
+def test_a_repeated_id_loses_only_its_own_text(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "only here"), (2, "A")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in exact_dedup(df).collect()) == [(1, "only here"), (2, "A")]
+
+
 def test_exact_dedup(odd, none):
     kept = exact_dedup(odd)
     assert kept.columns == odd.columns
@@ -145,6 +164,8 @@ def test_components(spark):
     named = {x for p in pairs for x in p if p[0] != p[1]}
     assert got == {x: tops[x] for x in named}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    odd = spark.createDataFrame([(None, 1), (2, None), (None, None), (3, 3), (5, 4), (5, 4)], "a long, b long")
+    assert sorted(map(tuple, connected_components(odd).collect())) == [(4, 4), (5, 4)]
 
 
 def brute_leaks(docs, items, least=0.8):

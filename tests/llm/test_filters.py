@@ -1,6 +1,7 @@
 """Operators 3, 5, 6 and 8, and the pipeline."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -165,8 +166,6 @@ def plain_tree(pages, many=20, rare=0.02, labels=5, z=1.64, weight=5.0, caution=
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_tree_equals_brute_force(spark, seed):
-    import random
-
     rng = random.Random(seed)
     words = ["en", "de", "shop", "blog", "a", "b", "", "tag"]
     pages = []
@@ -276,26 +275,48 @@ def test_em_separates():
 # op 6
 
 
+def plain_pack(vectors, shards):
+    """Greedy placement by dot product, item by item."""
+    left = [[1 / shards] * len(vectors[0]) for _ in range(shards)]
+    out = [0] * len(vectors)
+    for i in sorted(range(len(vectors)), key=lambda i: (-max(vectors[i]), i)):
+        out[i] = max(range(shards), key=lambda s: (round(sum(a * b for a, b in zip(left[s], vectors[i])), 15), -s))
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], vectors[i])]
+    return out
+
+
 def test_pack_is_even():
     rng = np.random.default_rng(3)
     v = rng.pareto(2, (3000, 3)) + 0.1
-    s = pack(v, 10, (1, 1, 1))
+    s = pack(v / v.sum(axis=0), np.full((10, 3), 0.1))
     load = np.stack([np.bincount(s, v[:, k], 10) for k in range(3)])
     assert (load.max(axis=1) / load.mean(axis=1)).max() < 1.05
+    some = v[:200] / v[:200].sum(axis=0)
+    assert pack(some, np.full((7, 3), 1 / 7)).tolist() == plain_pack(some.tolist(), 7)
 
 
-@pytest.mark.parametrize("bundles", [8, 4096])
-def test_pack_shards(spark, odd, odd_rows, none, bundles):
-    rows = pack_shards(odd, 3, bundles=bundles).collect()
+@pytest.mark.parametrize("large,part_groups,cell_rows", [(8, 2, 1), (4096, 50_000, 50_000), (1 << 30, 3, 2)])
+def test_pack_shards(spark, odd, odd_rows, none, large, part_groups, cell_rows):
+    rows = pack_shards(odd, 3, large=large, part_groups=part_groups, cell_rows=cell_rows).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in odd_rows)
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert pack_shards(none, 3).count() == 0
 
 
+def test_groups_are_placed_by_dot_product(spark):
+    """Where one partition holds all groups, the shards are those of the plain rule."""
+    rng = random.Random(6)
+    texts = [f"{i} " + "w " * rng.randint(0, 40) + "x" * rng.randint(0, 300) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.xxhash64("text", F.lit(False)))
+    rows = sorted(pack_shards(df, 6, large=1, weights=(1.0, 1.0, 1.0)).join(df, "doc_id").collect(), key=lambda r: r.key)
+    v = np.array([[len(r.text) + 16, r.text.count(" ") + 1, 1] for r in rows], float)
+    assert [r.shard for r in rows] == plain_pack((v / v.sum(axis=0)).tolist(), 6)
+
+
 def test_hot_group_is_cut_and_others_are_not(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot " * 10)).otherwise(F.concat(F.lit("t" * 30), F.floor(F.col("id") / 4))).alias("text"))
-    rows = pack_shards(df, 8, bundles=256).join(df, "doc_id").toPandas()
+    rows = pack_shards(df, 8, large=256, part_groups=200, cell_rows=100).join(df, "doc_id").toPandas()
     load = rows.groupby("shard")["size"].sum()
     assert load.max() / load.mean() < 1.03 and len(load) == 8
     assert (rows[~rows.text.str.startswith("hot")].groupby("text").shard.nunique() == 1).all()
@@ -321,6 +342,47 @@ def test_language(spark, odd, none):
     assert empty.predict(["some words", ""])[0] == [UNKNOWN, UNKNOWN]
 
 
+def plain_language(model, text):
+    """(language, score) word by word, with Python's letters and the model's tables."""
+    from weftgraph.llm.language import GRAM_WEIGHT, GRAMS
+
+    words = re.findall(r"[^\W\d_]+", text or "")
+    if not words:
+        return UNKNOWN, 0.0
+    total = np.zeros(len(model.languages))
+    for w in (x.lower() for x in words):
+        if w in model.words:
+            total += model.rows[model.words[w]].astype(float)
+            continue
+        for n in GRAMS:
+            known = [model.grams[g] for i in range(len(w) + 3 - n) if (g := f"^{w}$"[i : i + n]) in model.grams]
+            if known:
+                total += GRAM_WEIGHT * np.mean([model.rows[k].astype(float) for k in known], axis=0)
+                break
+    odds = np.exp((total - total.max()) / (model.temperature * np.sqrt(len(words))))
+    return model.languages[int(total.argmax())], odds.max() / odds.sum()
+
+
+def test_language_equals_plain_scoring(spark):
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    model = fit_languages(docs.where(fold(F.col("doc_id")) != 0), rows=60)
+    rows = identify(docs, model).collect()
+    for r in rows[:150]:
+        lang, score = plain_language(model, r.text)
+        assert (r.lang_pred, pytest.approx(r.lang_score, abs=1e-4)) == (lang, score)
+    sure = np.array([r.lang_score for r in rows if r.lang_pred != UNKNOWN])
+    assert len(set(np.round(sure, 4))) > 50 and np.mean(sure > 0.7) > 0.9  # sure, and not all equally so
+
+
+def test_every_language_has_its_rows(spark):
+    """A rare language is learnt as well as a frequent one; frequencies and the sample are bounded by rows of a language."""
+    common = [(i, "the cat and the dog went home", "en") for i in range(3000)]
+    rare = [(10_000 + i, f"kissa ja koira menivät kotiin{' taas' if i % 2 else ''}", "fi") for i in range(12)]
+    model = fit_languages(spark.createDataFrame(common + rare, "doc_id long, text string, lang string"), rows=40)
+    assert model.languages == ["en", "fi"] and model.predict(["koira meni kotiin", "the dogs"])[0] == ["fi", "en"]
+    assert 0 < len(model.words) < 30
+
+
 def test_unseen_words_back_off():
     from weftgraph.llm.language import LanguageModel
 

@@ -9,7 +9,9 @@ from weftgraph.llm.common import cut
 
 
 def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (smallest node connected) of every node of `pairs`; self links and repeats are allowed.
+    """node, component (smallest node connected) of every node of `pairs`.
+
+    Self links, repeats and links with a null end are passed over; no links give an empty table.
 
     Alternates large-star and small-star steps until no link changes; a step's links are
     at most as many as before plus the nodes, and its lineage is cut through the shared folder.

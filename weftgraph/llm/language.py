@@ -1,21 +1,22 @@
 """Operator 8: language identification, words first, then shorter and shorter character n-grams.
 
-The model has log frequencies per language of the most frequent words of a bounded
-labelled sample, and of the character n-grams of those words. A word of a text that the
+The model has log frequencies per language of all words of a bounded labelled sample (as many
+rows of every language), and of the character n-grams of those words. A word of a text that the
 model knows scores by its own frequencies; an unseen word falls back to its n-grams of
-the longest length of which any is known. A text's score is the sum over all its words.
+the longest length of which any is known. A text's evidence is the sum over all its words, and its
+score the probability of the best language at a temperature fitted on sample rows that the
+frequencies were not taken from.
 
 Cases: a null text or one without a letter is `und` with score 0; a text of unknown script only
 gets the first language in alphabetical order with the score of a guess; ties go to
 the first language; repeated rows stay; an empty table gives an empty table; other columns
 pass through, but input columns named like an output column are replaced; without any
-labelled row every text is `und`.
+labelled row every text is `und`; more than MOST_LANGUAGES labels raise, as they name no languages.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -31,8 +32,10 @@ from weftgraph.llm.pretokenize import LETTER, code_points, classes
 from weftgraph.llm.slices import distinct_slices
 
 UNKNOWN = "und"
-#: Bounds of a model: labelled rows of the sample it is fitted on, words, languages, n-gram lengths.
-SAMPLE_ROWS, MODEL_WORDS, LANGUAGES, GRAMS = 8_000, 40_000, 64, (5, 4, 3, 2, 1)
+#: Labelled rows of each language that a model is fitted on, about; labels beyond which it raises; n-gram lengths.
+SAMPLE_ROWS, MOST_LANGUAGES, GRAMS = 600, 1_000, (5, 4, 3, 2, 1)
+#: One of so many sample rows is kept for the temperature.
+TEMPER_FOLDS = 5
 CACHE_WORDS = 300_000
 #: Pseudo-count of an unseen word or n-gram, and the weight of an n-gram score against a word's.
 SMOOTH, GRAM_WEIGHT = 0.5, 0.7
@@ -46,6 +49,7 @@ class LanguageModel:
     words: dict[str, int]
     grams: dict[str, int]
     rows: np.ndarray
+    temperature: float = 1.0
     seen: dict[str, int] = field(default_factory=dict)
 
     def parts(self, w: str) -> tuple[list[int], float]:
@@ -85,67 +89,118 @@ class LanguageModel:
             self.filled += len(new)
         return self.kept[np.fromiter(map(seen.__getitem__, words), np.int64, len(words))]
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """(language, score) of each text."""
+    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(summed scores by language, number of words) of each text."""
         joined, cps, stops = code_points(texts)
         inside = classes()[cps] == LETTER
         edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if not len(starts) or not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         which, first, _ = distinct_slices(cps, starts, ends)
         scores = self.word_rows([joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
         sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(scores[which], axis=0, dtype=np.float64)])
         upto = np.searchsorted(starts, stops)
         fro = np.concatenate([[0], upto[:-1]])
-        total = sums[upto] - sums[fro]
-        total -= total.max(axis=1, keepdims=True)
-        odds = np.exp(total)
-        odds /= odds.sum(axis=1, keepdims=True)
+        return sums[upto] - sums[fro], upto - fro
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """(language, score) of each text."""
+        total, words = self.evidence(texts)
+        if not self.languages:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        odds = _odds(total, words, self.temperature)
         best = odds.argmax(axis=1)
-        none = upto == fro
+        none = words == 0
         return [UNKNOWN if e else self.languages[i] for i, e in zip(best.tolist(), none.tolist())], np.where(none, 0.0, odds[np.arange(len(best)), best])
 
 
-def _log_frequencies(counts: dict[str, dict[str, float]], languages: list[str]) -> np.ndarray:
+def _odds(total: np.ndarray, words: np.ndarray, temperature: float) -> np.ndarray:
+    """Probabilities by language: words of a text are not independent, so evidence grows with the root of their number."""
+    scaled = total / (temperature * np.sqrt(np.maximum(words, 1)))[:, None]
+    odds = np.exp(scaled - scaled.max(axis=1, keepdims=True))
+    return odds / odds.sum(axis=1, keepdims=True)
+
+
+def fit_temperature(total: np.ndarray, words: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature of least log loss against the truth, which counts as 1 - 1/(n + 2) sure."""
+    n = len(truth)
+    if not n or total.shape[1] < 2:
+        return 1.0
+    want = np.full(total.shape, 1 / (n + 2) / (total.shape[1] - 1))
+    want[np.arange(n), truth] = 1 - 1 / (n + 2)
+    grid = 2.0 ** np.arange(-6, 7, 0.25)
+    return float(min(grid, key=lambda t: -(want * np.log(np.maximum(_odds(total, words, t), 1e-300))).sum()))
+
+
+def _log_frequencies(table: np.ndarray) -> np.ndarray:
     """Per item, the log of its smoothed share in each language, less the mean over the languages."""
-    if not counts or not languages:
-        return np.zeros((len(counts), len(languages)), np.float32)
-    table = np.array([[c.get(x, 0.0) for x in languages] for c in counts.values()]).reshape(len(counts), len(languages)) + SMOOTH
+    if not table.size:
+        return np.zeros(table.shape, np.float32)
+    table = table + SMOOTH
     rows = np.log(table / table.sum(axis=0, keepdims=True))
     return (rows - rows.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit_languages(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, words: int = MODEL_WORDS) -> LanguageModel:
-    """Fits on a sample of about `rows` of the labelled rows, chosen by a hash of their ids.
+def fit_languages(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> LanguageModel:
+    """Fits on about `rows` labelled rows of each language, chosen by a hash of their ids; all their words count.
 
-    The driver gets at most `words` words with their counts in at most LANGUAGES languages.
+    The driver gets the distinct words of those rows with their counts.
     """
-    known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    n = known.count()
-    share = min(1.0, rows / max(1, n))
-    picked = known.where(F.pmod(F.xxhash64(F.lit(8), F.col(id)), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30))))
-    seen = picked.select(F.col(lang).alias("lang"), F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    counts = seen.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
-    languages = sorted(r["lang"] for r in picked.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    top = counts.where(F.col("lang").isin(languages)).groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("n"), "word").limit(words).collect() if languages else []
-    by_word = {r["word"]: {x["lang"]: float(x["n"]) for x in r["by"]} for r in top}
-    rows, grams = [_log_frequencies(by_word, languages)], {}
-    at = len(by_word)
+    known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels are no languages")
+    languages = sorted(sizes)
+    if not languages:
+        return LanguageModel([], {}, {}, np.zeros((0, 0), np.float32))
+    parts = 1 << 30
+    most = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(math.ceil(min(1.0, rows / sizes[k]) * parts)))))
+    picked = known.where(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(parts)) < most[F.col("lang")])
+    kept_out = F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(TEMPER_FOLDS)) == 0
+    seen = picked.where(~kept_out).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    found = seen.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("by")).collect()
+    found.sort(key=lambda r: r["word"])
+    number = {x: i for i, x in enumerate(languages)}
+    counts = np.zeros((len(found), len(languages)))
+    for i, r in enumerate(found):
+        for x in r["by"]:
+            counts[i, number[x["lang"]]] = x["n"]
+    words = {r["word"]: i for i, r in enumerate(found)}
+    marked = [f"^{w}$" for w in words]
+    tables, grams = [_log_frequencies(counts)], {}
     for k in GRAMS:
-        by_gram: dict[str, Counter] = defaultdict(Counter)
-        for w, c in by_word.items():
-            marked = f"^{w}$"
-            for i in range(len(marked) - k + 1):
-                by_gram[marked[i : i + k]].update(c)
-        rows.append(_log_frequencies(by_gram, languages))
-        grams |= dict(zip(by_gram, range(at, at + len(by_gram))))
-        at += len(by_gram)
-    return LanguageModel(languages, dict(zip(by_word, range(len(by_word)))), grams, np.concatenate(rows))
+        begin = len(words) + len(grams)
+        own: dict[str, int] = {}
+        at = np.array([own.setdefault(m[i : i + k], len(own)) for m in marked for i in range(len(m) - k + 1)], np.int64)
+        of = np.repeat(np.arange(len(marked)), [max(0, len(m) - k + 1) for m in marked])
+        table = np.stack([np.bincount(at, counts[of, j], minlength=len(own)) for j in range(len(languages))], axis=1)
+        tables.append(_log_frequencies(table))
+        grams |= {g: begin + i for g, i in own.items()}
+    model = LanguageModel(languages, words, grams, np.concatenate(tables))
+    model.temperature = fit_temperature(*_sample_evidence(picked.where(kept_out), model))
+    return model
+
+
+def _sample_evidence(sample: DataFrame, model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(evidence, words, true language) of the sample's rows with words."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(sample.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, words = shared.value.evidence(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(words, pa.int64())], ["lang", "total", "words"])
+
+    rows = sample.select("lang", "text").mapInArrow(run, "lang string, total array<double>, words long").where("words > 0").collect()
+    shared.unpersist()
+    number = {x: i for i, x in enumerate(model.languages)}
+    rows.sort(key=lambda r: (r["lang"], r["words"], r["total"]))
+    return np.array([r["total"] for r in rows]).reshape(len(rows), -1), np.array([r["words"] for r in rows], np.int64), np.array([number[r["lang"]] for r in rows], np.int64)
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang_pred: str = "lang_pred", score: str = "lang_score", keep: list[str] | None = None) -> DataFrame:
-    """Adds `lang_pred` and `score` (0 to 1). The broadcast model is bounded by its words and languages."""
+    """Adds `lang_pred` and `score` (0 to 1). The broadcast model is bounded by the sample that it was fitted on."""
     kept = df.columns if keep is None else keep
     schema = with_fields(df.select(*kept).schema, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()))
     names = schema.names

@@ -5,9 +5,9 @@ what looser patterns find besides. Three labelers vote on every candidate (1 yes
 0 abstain): *regex* (form), *gazetteer* (lists of endings, prefixes, reserved ranges) and
 *context* (words before the span). Expectation-maximisation over the counts of vote patterns, of
 which there are at most 27 for each kind, estimates how each labeler votes on true and false
-candidates. The resulting probabilities, as soft labels, train the final span classifier
-(naive Bayes over a bounded set of span features), which decides on the looser candidates;
-base spans stay in any case.
+candidates. The resulting probabilities, as soft labels, train the final span classifier (naive
+Bayes over a bounded set of features of the span and its neighbourhood, not of the votes), which decides
+on the looser candidates; base spans stay in any case.
 
 Offsets count code points: the text between matches and the matches themselves are measured in
 turn. All patterns run in time linear in the text (possessive loops, starts only where a run
@@ -50,9 +50,22 @@ NEEDS = {
     ("loose", "email"): r"[(\[{]at[)\]}]", ("loose", "ip"): "[0-9A-Fa-f]:[0-9A-Fa-f]", ("loose", "card"): "[0-9][./_][0-9]", ("loose", "phone"): "[0-9][ .-][0-9]",
 }
 
-#: Gazetteers and context words (fixed values).
-ENDINGS = "com org net edu gov io info biz de fr es it uk eu ch at nl ca us example".split()
-CARD_PREFIXES = "[3-6]"
+#: Gazetteers and context words (fixed values): name endings; first digits and lengths of card issuers; addresses
+#: that name no one's machine; country calling codes; first digits that no area code has.
+ENDINGS = (
+    "com org net edu gov mil int info biz name pro io co me tv cc app dev ai example "
+    "ac ae ar at au be bg br by ca ch cl cn cz de dk ee eg es eu fi fr gb gr hk hr hu id ie il in ir is it jp ke kr lt lu lv ma mx my ng nl no nz pe ph pk pl pt ro rs ru sa se sg si sk th tn tr tw ua uk us uy ve vn za"
+).split()
+ISSUERS = (
+    "^(?:4(?:[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}"
+    "|3[47][0-9]{13}|(?:6011|64[4-9][0-9]|65[0-9]{2})[0-9]{12,15}|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|35(?:2[89]|[3-8][0-9])[0-9]{12,15}|62[0-9]{14,17})$"
+)
+NO_ONES = r"^(?:0|127|169\.254|2(?:2[4-9]|[3-5][0-9]))\.|^(?:0+:){7}|^(?i:fe[89ab][0-9a-f]|ff[0-9a-f]{2}):"
+PUBLIC = r"^(?:[1-9]|1[1-9]|[2-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.|^[23][0-9A-Fa-f]{3}:"
+CALLING = (
+    "^(?:1[2-9]|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+    "|21[1-368]|22[0-9]|23[0-9]|24[0-9]|25[0-8]|26[0-9]|29[0-9]|35[0-9]|37[0-9]|38[0-9]|42[0-3]|50[0-9]|59[0-9]|67[0-9]|68[0-9]|69[0-2]|85[0-6]|88[06]|96[0-8]|97[0-7]|99[2-8])"
+)
 CONTEXT = {
     "email": r"(?i)(?:e-?mail|contact|correo|courriel|write|schreib|adresse?)\P{L}{0,8}$",
     "ip": r"(?i)(?:\bip\b|host|server|address|client|adresse|direcci)\P{L}{0,8}$",
@@ -113,6 +126,7 @@ def matches(text: Column, pattern: str, needs: str, kind: int, base: bool) -> Co
 
 
 def _regex_vote(kind: Column, base: Column, s: Column) -> Column:
+    """Form: checked base matches and complete loose ones; not a repeated digit."""
     digits = _digits(s)
     flat = digits.rlike(r"^([0-9])\1*$")
     return (
@@ -126,12 +140,14 @@ def _regex_vote(kind: Column, base: Column, s: Column) -> Column:
 
 
 def _gazetteer_vote(kind: Column, s: Column) -> Column:
+    digits = _digits(s)
     ending = F.lower(F.regexp_extract(s, r"([A-Za-z0-9-]+)$", 1))
     return (
         F.when(kind == 0, F.when(ending.isin(ENDINGS), 1).otherwise(-1))
-        .when(kind == 1, F.when(s.rlike(r"^(?:0|127|255)\.|^0*:"), -1).otherwise(0))
-        .when(kind == 2, F.when(s.rlike(f"^{CARD_PREFIXES}"), 1).otherwise(-1))
-        .otherwise(F.when(_digits(s).rlike("^1?[2-9]"), 1).otherwise(0))
+        .when(kind == 1, F.when(s.rlike(NO_ONES), -1).when(s.rlike(PUBLIC), 1).otherwise(0))
+        .when(kind == 2, F.when(digits.rlike(ISSUERS), 1).otherwise(-1))
+        .when(s.startswith("+"), F.when(digits.rlike(CALLING), 1).otherwise(-1))
+        .otherwise(F.when(digits.rlike("^1?[2-9][0-8][0-9][2-9]"), 1).when(digits.rlike("^1?[01]|^1?[2-9][0-9]{2}[01]"), -1).otherwise(0))
     )
 
 
@@ -142,13 +158,25 @@ def _context_vote(kind: Column, before: Column) -> Column:
     return vote.otherwise(0)
 
 
-def _features(kind: Column, s: Column, before: Column, votes: Column) -> Column:
-    """Bounded features of a span: its votes, length, separators, and the sign before it."""
+def _near(c: Column) -> Column:
+    """Class of a character beside a span."""
+    return F.when(c == "", "e").when(c.rlike(r"\p{L}"), "l").when(c.rlike("[0-9]"), "d").when(c.rlike(r"\s"), "s").when(c.rlike(r"[.,;:!?]"), "p").when(c.rlike(r"[()\[\]{}<>\"']"), "q").otherwise("o")
+
+
+def _features(kind: Column, s: Column, before: Column, after: Column) -> Column:
+    """Features of a span itself and what stands beside it; of no kind more than a hundred. Votes are not among them."""
+    shape = F.regexp_replace(F.regexp_replace(s, "[0-9]", "9"), r"\p{L}+", "a")
+    word = F.lower(F.regexp_extract(before, r"(\p{L}{1,12})\P{L}{0,3}$", 1))
+    digits = _digits(s)
     return F.array(
-        F.concat(F.lit("v"), votes),
         F.concat(F.lit("n"), F.least(F.length(s), F.lit(40)).cast("string")),
-        F.concat(F.lit("s"), F.when(s.rlike(r"[()]"), "p").when(s.rlike("-"), "h").when(s.rlike(" "), "b").when(s.rlike(r"\."), "d").otherwise("o")),
-        F.concat(F.lit("b"), F.when(before.rlike(r"[\p{L}]$"), "l").when(before.rlike("[0-9]$"), "d").when(before.rlike(r"\s$"), "s").when(before == "", "e").otherwise("o")),
+        F.concat(F.lit("s"), F.when(s.rlike(r"[()]"), "p").when(s.rlike("-"), "h").when(s.rlike(" "), "b").when(s.rlike(r"\."), "d").when(s.rlike("_|/"), "u").otherwise("o")),
+        F.concat(F.lit("b"), _near(F.substring(before, -1, 1))),
+        F.concat(F.lit("a"), _near(after)),
+        F.concat(F.lit("f"), F.substring(digits, 1, 1)),
+        F.concat(F.lit("k"), F.length(F.regexp_replace(digits, r"(.)(?=.*\1)", "")).cast("string")),  # different digits
+        F.concat(F.lit("h"), F.pmod(F.xxhash64(shape), F.lit(97)).cast("string")),
+        F.concat(F.lit("w"), F.when(word == "", "none").otherwise(F.pmod(F.xxhash64(word), F.lit(97)).cast("string"))),
     )
 
 
@@ -163,8 +191,9 @@ def spans(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
     def judged(x: Column) -> Column:
         before = F.substring(F.col("t"), F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR)))
+        after = F.substring(F.col("t"), x["end"] + 1, F.lit(1))
         votes = F.concat_ws(",", *(v.cast("string") for v in (_regex_vote(x["kind"], x["base"], x["span"]), _gazetteer_vote(x["kind"], x["span"]), _context_vote(x["kind"], before))))
-        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base"), votes.alias("votes"), _features(x["kind"], x["span"], before, votes).alias("features"))
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base"), votes.alias("votes"), _features(x["kind"], x["span"], before, after).alias("features"))
 
     both = F.concat("b", apart)
     return found.select("id", F.when(F.size("b") + F.size("l") > 0, F.transform(both, judged)).alias("candidates"))
@@ -194,7 +223,7 @@ def reliabilities(counts: dict[tuple[int, int, int], float], rounds: int = 50) -
 def classifier(candidates: DataFrame) -> dict[tuple[int, str], float]:
     """Log-odds of each (kind, feature), and of each kind under feature '', from exploded candidates.
 
-    The driver gets one row per kind and vote pattern and one per kind and feature: a few hundred.
+    The driver gets one row per kind and vote pattern and one per kind and feature: at most some two thousand.
     """
     one = candidates.select("c.kind", "c.votes", "c.features")
     by: dict[int, dict[tuple[int, int, int], float]] = defaultdict(dict)

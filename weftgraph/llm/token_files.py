@@ -17,6 +17,7 @@ the input are not written.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -48,6 +49,8 @@ WRITER = {
 
 #: Words that the library encodes in one text.
 JOINT_WORDS = 1_000
+#: Stored bytes of input for each token file at most, about.
+FILE_BYTES = 128 << 20
 
 
 class LibraryEncoder:
@@ -150,9 +153,18 @@ def tokenised(df: DataFrame, tokenizer: str, end_id: int, files: int, id: str =
     return ordered.mapInArrow(run, "part int, doc_id long, local_start long, n_tokens long, ids array<int>")
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of a frame's size, for files the bytes that are stored."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if size > 1 << 60 else size  # what is not known counts as the largest size
+
+
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, files: int | None = None, id: str = "doc_id", text: str = "text") -> None:
-    """Writes the token files of `df` to the folder `path` (replaced)."""
-    files = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Writes the token files of `df` to the folder `path` (replaced).
+
+    Without `files`, their number is the session's shuffle partitions, or more if the plan's size needs it.
+    """
+    files = files or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(planned_bytes(df) / FILE_BYTES))
     tokenised(df, tokenizer, end_id, files, id, text).write.mode("overwrite").options(**WRITER).parquet(path)
 
 
