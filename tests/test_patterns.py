@@ -60,7 +60,7 @@ def run_plan(plan: Plan, labels, edge_seq: dict, homomorphic: bool) -> Counter:
             found = []
             for (a, b, label), seq in edge_seq.items():
                 if seq and (labels[a], labels[b], label) == tuple(s.root) and (a == b if s.depth == 1 else homomorphic or a != b):
-                    row = (a,) if s.depth == 1 else (a, b)
+                    row = (a,) if s.depth == 1 else (b, a) if s.flipped else (a, b)
                     if all(has(row, seq, x, row[-1]) for x in s.links):
                         found.append((seq, row))
         else:

@@ -4,15 +4,22 @@ import duckdb
 import pytest
 
 from weftgraph.oracle import oracle_sql
-from weftgraph.queries import queries
+from weftgraph import queries_algorithms, queries_io
+from weftgraph.queries import queries as graph_queries
 from weftgraph.sources.relational import Tables, peers
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
-NAMES = "graph_edges_by_label match_path2_static match_triangle_intersect delta_triangle delta_sym_wedge topk_hot_vertices project_edge_props loop_unrolled shuffle_barrier sssp".split()
+NAMES = "graph_edges_by_label match_path2_static match_triangle_intersect delta_triangle delta_sym_wedge topk_hot_vertices project_edge_props loop_unrolled shuffle_barrier sssp neighbour_scan visited_expand_bfs resource_allocation_index shared_plan_counts stream_counts".split()
+OTHERS = queries_io.queries() | queries_algorithms.queries()
 
 
-@pytest.mark.parametrize("name", NAMES)
+def queries():
+    return graph_queries() | OTHERS
+
+
+
+@pytest.mark.parametrize("name", [*NAMES, *OTHERS])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -6,7 +6,8 @@ expressions cannot say.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from weftgraph.functions.lineage import cut
 
 #: Distance of an unreached vertex, and the bound of a shortest-path search.
 MAX_DISTANCE = 1_000_000
+_senders = ThreadPoolExecutor(4, "send-back")
 
 
 class Flow:
@@ -68,6 +70,30 @@ class Flow:
     def node_by_id(self, id: int, column: str = "id") -> Flow:
         return Flow(self.df.where(F.col(column) == id))
 
+    def single_edge(self, edges: DataFrame, src: int, dst: int) -> Flow:
+        """The edges from one vertex to another."""
+        return Flow(edges.where((F.col("src") == src) & (F.col("dst") == dst)))
+
+    def add_bitset(self, index: str, label: str, name: str = "bits") -> Flow:
+        """Per value of `label`, the set of `index` (not negative) as bitmaps: label, bucket, `name`.
+
+        A bucket holds the ids of one range of 32,768; `bitmap_count(name)` counts them.
+        """
+        bucketed = self.df.select(label, F.bitmap_bucket_number(index).alias("bucket"), F.bitmap_bit_position(index).alias("at"))
+        return Flow(bucketed.groupBy(label, "bucket").agg(F.bitmap_construct_agg("at").alias(name)))
+
+    def transfer(self, relation: DataFrame, expand_relation: DataFrame, site: str, to: str) -> Flow:
+        """Rows of a relation renamed to `site`, each carried over another relation's edges to `to`."""
+        return Flow(relation.select(F.col("id").alias(site))).expand(expand_relation, site, to)
+
+    def send_back(self) -> Future:
+        """The rows, as a future: the job runs meanwhile."""
+        return _senders.submit(self.df.collect)
+
+    def gather(self) -> Iterator:
+        """The rows one partition after another, so that the driver holds one at a time."""
+        return self.df.toLocalIterator(prefetchPartitions=True)
+
     def project_node(self, properties: DataFrame, site: str, *columns: str) -> Flow:
         """Adds property columns of the vertex at `site` (properties has an `id`)."""
         return Flow(self.df.join(properties.select(F.col("id").alias(site), *columns), site, "left"))

@@ -27,21 +27,22 @@ def batch_of(seq: Column, batch_size: int) -> Column:
 class DeltaEngine:
     """Deltas of a set of patterns over a graph with updates."""
 
-    def __init__(self, graph: Graph, patterns: list[Pattern], homomorphic: bool = False, share: bool = True, deletes: bool = False, degrees: Degrees | None = None, proposer: str = "join", persist: bool = False):
+    def __init__(self, graph: Graph, patterns: list[Pattern], homomorphic: bool = False, share: bool = True, deletes: bool = False, degrees: Degrees | None = None, proposer: str = "join", persist: bool = True):
         self.graph, self.patterns, self.homomorphic, self.deletes = graph, patterns, homomorphic, deletes
         self.proposer, self.persist = proposer, persist
+        degrees = degrees or graph.degrees()
         self.plan = Plan(patterns, degrees, ties=homomorphic, share=share)
         self.end_plan = Plan(patterns, degrees, ties=True, share=share) if deletes else None
 
-    def _matchers(self, window: tuple[int, int] | None) -> list[tuple[int, Matcher]]:
-        out = [(1, Matcher(self.graph, self.plan, "insert", self.homomorphic, window, self.proposer, self.persist))]
+    def _matchers(self, window: tuple[int, int] | None, persist: bool) -> list[tuple[int, Matcher]]:
+        out = [(1, Matcher(self.graph, self.plan, "insert", self.homomorphic, window, self.proposer, persist))]
         if self.deletes:
-            out.append((-1, Matcher(self.graph, self.end_plan, "delete", self.homomorphic, window, self.proposer, self.persist)))
+            out.append((-1, Matcher(self.graph, self.end_plan, "delete", self.homomorphic, window, self.proposer, persist)))
         return out
 
     def _signed(self, window: tuple[int, int] | None, *by: Column) -> DataFrame:
         total = None
-        for sign, m in self._matchers(window):
+        for sign, m in self._matchers(window, self.persist):
             one = m.stage_counts(*by).withColumn("n", F.col("n") * sign)
             total = one if total is None else total.unionByName(one)
         return total.groupBy(*[c for c in total.columns if c != "n"]).agg(F.sum("n").alias("n"))
@@ -57,7 +58,7 @@ class DeltaEngine:
     def embeddings(self, query: int, window: tuple[int, int] | None = None) -> DataFrame:
         """seq, op, b0, ..: the embeddings that a window's updates make (op 1) and end (op -1)."""
         out = None
-        for sign, m in self._matchers(window):
+        for sign, m in self._matchers(window, False):
             rows = m.embeddings(query)
             one = rows.select("seq", F.lit(sign).alias("op"), *[c for c in rows.columns if c != "seq"])
             out = one if out is None else out.unionByName(one)

@@ -7,13 +7,14 @@ Edges of symmetric labels are stored in both directions with one seq.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.lineage import cut
 from weftgraph.plans.pattern import SYMMETRIC_LABELS
+from weftgraph.plans.stats import Degrees
 
 NEVER = (1 << 63) - 1
 
@@ -31,6 +32,13 @@ class Graph:
     vertices: DataFrame
     edges: DataFrame
     symmetric: frozenset[int] = SYMMETRIC_LABELS
+    known: Degrees | None = field(default=None, compare=False)
+
+    def degrees(self) -> Degrees:
+        """Statistics of the edges, taken once."""
+        if self.known is None:
+            self.known = Degrees.of(self.edges)
+        return self.known
 
     @classmethod
     def of(cls, vertices: DataFrame, edges: DataFrame, updates: DataFrame | None = None, symmetric: frozenset[int] = SYMMETRIC_LABELS) -> Graph:
@@ -73,7 +81,7 @@ class Graph:
 
     def settled(self) -> Graph:
         """The same graph with its lineage cut: plans join the edges many times."""
-        return Graph(cut(self.vertices), cut(self.edges), self.symmetric)
+        return Graph(cut(self.vertices), cut(self.edges), self.symmetric, self.known)
 
     def counts(self) -> DataFrame:
         """kind, label, rows."""

@@ -3,7 +3,8 @@
 Rows of a stage: seq (the time of the root update, or 0 for static matching) and b0..bk, the bound
 vertices. Extension by a vertex is an equi-join over the cheapest link; the other links of the
 same vertex are left-semi joins (or, with proposer="intersect", intersections of adjacency arrays that
-start at the smallest).
+start at the smallest; or, with "count", counts of proposals). Rows of a stage that several others read
+are kept (memory, then disk) while a result is computed.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from weftgraph.plans.stats import Degrees
 
 #: Stages from which a plan is run root by root.
 LARGE_PLAN = 80
+#: Entries of an adjacency list above which it is split.
+LIST = 50_000
 
 
 class Matcher:
@@ -28,7 +31,7 @@ class Matcher:
     edges older and alive) or "delete" (root = edge that ends, the others alive until then).
     """
 
-    def __init__(self, graph: Graph, plan: Plan, mode: str = "static", homomorphic: bool = False, window: tuple[int, int] | None = None, proposer: str = "join", persist: bool = False):
+    def __init__(self, graph: Graph, plan: Plan, mode: str = "static", homomorphic: bool = False, window: tuple[int, int] | None = None, proposer: str = "join", persist: bool = True):
         self.graph, self.plan, self.mode, self.homomorphic, self.window, self.proposer, self.persist = graph, plan, mode, homomorphic, window, proposer, persist
         self._rows: dict[int, DataFrame] = {}
         self.persisted: list[DataFrame] = []
@@ -58,7 +61,8 @@ class Matcher:
         kind = s.root
         e = self._edges(kind.edge_label, kind.src_label, kind.dst_label)
         at = {"static": F.lit(0).cast("long"), "insert": F.col("seq"), "delete": F.col("del_seq")}[self.mode]
-        e = e.select(at.alias("seq"), F.col("src").alias("b0"), F.col("dst").alias("b1"))
+        first, second = ("dst", "src") if s.flipped else ("src", "dst")
+        e = e.select(at.alias("seq"), F.col(first).alias("b0"), F.col(second).alias("b1"))
         if self.window:
             e = e.where((F.col("seq") > self.window[0]) & (F.col("seq") <= self.window[1]))
         elif self.mode == "insert":
@@ -96,19 +100,45 @@ class Matcher:
         return keep
 
     def _intersected(self, rows: DataFrame, s: Stage, links: list[Link]) -> DataFrame:
-        """Candidates by intersecting visible adjacency lists, the two smallest sides first for each row."""
+        """Candidates by intersecting visible adjacency lists, the two smallest sides first for each row.
+
+        Only vertices of the rows get lists, and lists are split by the new vertex's hash into as many
+        parts as keep a hub's part at about LIST entries; a row meets the parts one by one.
+        """
         new = s.depth - 1
+        rows, sides, parts = cut(rows), [], 1
+        for x in links:
+            side = self._side(x, s.labels, new)
+            side = cut(side.join(rows.select(F.col(f"b{x.position}").alias("bound")).distinct(), "bound", "left_semi"))
+            most = side.groupBy("bound").count().agg(F.max("count")).first()[0] or 0
+            sides.append(side)
+            parts = max(parts, -(-most // LIST))
         arrays = []
-        for i, x in enumerate(links):
-            lists = self._side(x, s.labels, new).groupBy(F.col("bound").alias(f"k{i}")).agg(F.collect_list(F.struct("new_", "eseq", "edel")).alias(f"n{i}"))
-            rows = rows.join(lists, F.col(f"b{x.position}") == F.col(f"k{i}")).drop(f"k{i}")
+        if parts > 1:
+            rows = rows.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        for i, (x, side) in enumerate(zip(links, sides)):
+            part = F.pmod(F.xxhash64("new_"), F.lit(parts)).cast("int")
+            lists = side.groupBy(F.col("bound").alias(f"k{i}"), part.alias(f"p{i}")).agg(F.collect_list(F.struct("new_", "eseq", "edel")).alias(f"n{i}"))
+            same = F.col(f"b{x.position}") == F.col(f"k{i}")
+            rows = rows.join(lists, same & (F.col("part_") == F.col(f"p{i}")) if parts > 1 else same).drop(f"k{i}", f"p{i}")
             rows = rows.withColumn(f"n{i}", F.transform(F.filter(F.col(f"n{i}"), self._seen(x.tie)), lambda y: y["new_"]))
             arrays.append(f"n{i}")
         sized = F.sort_array(F.array(*(F.struct(F.size(c).alias("size"), F.col(c).alias("ids")) for c in arrays)))
         both = F.aggregate(F.slice(sized, 2, len(arrays)), F.get(sized, F.lit(0))["ids"], lambda acc, y: F.array_intersect(acc, y["ids"]))
-        kept = [c for c in rows.columns if c not in arrays]
+        kept = [c for c in rows.columns if c not in arrays and c != "part_"]
         return rows.select(*kept, F.explode(both).alias(f"b{new}"))
 
+    def _counted(self, rows: DataFrame, s: Stage, links: list[Link]) -> DataFrame:
+        """Candidates as the vertices that all links propose, by counting the proposals of each."""
+        new, hits = s.depth - 1, None
+        for x in links:
+            side = self._side(x, s.labels, new)
+            one = rows.join(side, (F.col(f"b{x.position}") == F.col("bound")) & self._visible(x.tie)).select(*rows.columns, F.col("new_").alias(f"b{new}"))
+            hits = one if hits is None else hits.unionByName(one)
+        # an edge lives once at a time, so a link proposes a vertex once for each row
+        keys = [*rows.columns, f"b{new}"]
+        return hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("hits_")).where(F.col("hits_") == len(links)).select(*keys)
+
     def rows(self, s: Stage) -> DataFrame:
         if s.number in self._rows:
             return self._rows[s.number]
@@ -121,8 +151,9 @@ class Matcher:
             else:
                 links = sorted(s.links, key=lambda x: (x.direction == "loop", self.plan.degrees.cost(x.direction, x.label), x))
                 plain = [x for x in links if x.direction != "loop"]
-                if self.proposer == "intersect" and len(plain) > 1:
-                    out = self._intersected(self.rows(s.parent), s, plain)
+                if self.proposer != "join" and len(plain) > 1:
+                    propose = {"intersect": self._intersected, "count": self._counted}[self.proposer]
+                    out = propose(self.rows(s.parent), s, plain)
                     rest = [x for x in links if x.direction == "loop"]
                 else:
                     first, rest = links[0], links[1:]
@@ -132,16 +163,18 @@ class Matcher:
                 out = out.where(self._injective(s))
             for x in rest:
                 out = self._semi(out, x, s, new)
-        if self.persist and self.plan.consumers(s) > 1:
+        if self.persist and s.parent is not None and self.plan.consumers(s) > 1:  # a root is one filter of the edges
             out = out.persist()
             self.persisted.append(out)
         self._rows[s.number] = out
         return out
 
-    def unpersist(self) -> None:
+    def release(self) -> None:
+        """Forgets the kept rows."""
         for df in self.persisted:
             df.unpersist()
         self.persisted.clear()
+        self._rows.clear()
 
     def _root_counts(self, root: Stage, by: tuple[Column, ...], names: list[str]) -> DataFrame | None:
         """query_id, names, n over the stages below one root."""
@@ -164,12 +197,11 @@ class Matcher:
     def stage_counts(self, *by: Column) -> DataFrame:
         """query_id, `by` columns (over seq), n: embeddings of each pattern.
 
-        A large plan is run root by root: stages with several consumers are persisted meanwhile,
-        and only the counts remain, so no single query plan holds the whole trie.
+        Stages with several consumers are kept until the counts are there; a large plan is run root by
+        root, so no single query plan holds the whole trie.
         """
         names = [f"__by{i}" for i in range(len(by))]
         large = sum(1 for _ in self.plan.stages()) > LARGE_PLAN
-        persist, self.persist = self.persist, self.persist or large
         total = None
         for root in self.plan.roots:
             one = self._root_counts(root, by, names)
@@ -177,11 +209,13 @@ class Matcher:
                 continue
             if large:
                 one = cut(one)
-                self.unpersist()
-                self._rows.clear()
+                self.release()
             total = one if total is None else total.unionByName(one)
-        self.persist = persist
-        return total.groupBy("query_id", *names).agg(F.sum("n").alias("n"))
+        total = total.groupBy("query_id", *names).agg(F.sum("n").alias("n"))
+        if self.persisted:
+            total = cut(total)  # a row for each pattern and batch
+            self.release()
+        return total
 
     def embeddings(self, query: int) -> DataFrame:
         """seq, b0.. of one pattern in the order of its vertices."""
@@ -222,13 +256,13 @@ def static_plan(patterns: list[Pattern], degrees: Degrees | None = None, share:
 
 def match(graph: Graph, pattern: Pattern, homomorphic: bool = False, degrees: Degrees | None = None, proposer: str = "join") -> DataFrame:
     """b0, b1, ...: embeddings of a pattern in a graph of static rows (see Graph.at)."""
-    m = Matcher(graph, static_plan([pattern], degrees), "static", homomorphic, proposer=proposer)
+    m = Matcher(graph, static_plan([pattern], degrees or graph.degrees()), "static", homomorphic, proposer=proposer, persist=False)
     return m.embeddings(0).drop("seq")
 
 
 def match_counts(graph: Graph, patterns: list[Pattern], homomorphic: bool = False, degrees: Degrees | None = None, share: bool = True) -> DataFrame:
     """query_id, total: number of embeddings of each pattern (0 if none)."""
-    m = Matcher(graph, static_plan(patterns, degrees, share), "static", homomorphic)
+    m = Matcher(graph, static_plan(patterns, degrees or graph.degrees(), share), "static", homomorphic)
     return with_zeros(graph.edges.sparkSession, m.stage_counts(), patterns, "n").withColumnRenamed("n", "total")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from weftgraph.plans.pattern import Pattern, edge_types, instances
 from weftgraph.queries import BATCH, DELETE_AFTER, DELETE_EVERY, DROP_EVERY, PATTERNS, TRIANGLE
+from weftgraph.queries_algorithms import RANK_ROUNDS
+from weftgraph.queries_io import KEPT, REVIVED
 from weftgraph.sources.relational import PEER_RANGE, STREAM_FROM
 
 _K = 1_000_000_000
@@ -95,14 +97,35 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join(str(tuple(r)) for r in rows)}) AS t({names})"
 
 
+_VERTICES = """vertices AS (
+  SELECT 0 + r_regionkey AS id, 0 AS label FROM region UNION SELECT %d + n_nationkey, 1 FROM nation UNION SELECT %d + c_custkey, 2 FROM customer
+  UNION SELECT %d + s_suppkey, 3 FROM supplier UNION SELECT %d + p_partkey, 4 FROM part UNION SELECT %d + o_orderkey, 5 FROM orders
+)""" % tuple(k * _K for k in range(1, 6))
+
+
+def _page_rank(rounds: int) -> str:
+    """The rounds one after another, as tables."""
+    steps = []
+    for i in range(rounds):
+        got = f"SELECT dst AS id, sum(p / d) AS got FROM links JOIN deg USING (src) JOIN r{i} ON r{i}.id = src GROUP BY dst"
+        held = f"(SELECT coalesce(sum(p), 0) FROM r{i} WHERE id NOT IN (SELECT src FROM deg))"
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT r{i}.id, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * (coalesce(got, 0) + {held} / n) AS p FROM r{i} CROSS JOIN total LEFT JOIN ({got}) g ON g.id = r{i}.id)")
+    return f"""WITH {_GRAPH}, links AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE label IN (1, 3)), deg AS (SELECT src, count(*) AS d FROM links GROUP BY src),
+ids AS (SELECT src AS id FROM links UNION SELECT dst FROM links), total AS (SELECT count(*) AS n FROM ids),
+r0 AS (SELECT id, 1::DOUBLE / n AS p FROM ids CROSS JOIN total), {", ".join(steps)}
+SELECT id, round(p * n, 6) AS score FROM r{rounds} CROSS JOIN total"""
+
+
 def oracle_sql() -> dict[str, str]:
     types = [(i, *t) for i, t in enumerate(edge_types(PATTERNS))]
     roots = [(q, *t, a, b) for t, found in instances(PATTERNS).items() for q, a, b in found]
+    shapes = [(q, k, e.src, e.dst, *p.edge_type(e)) for q, p in enumerate(PATTERNS) for k, e in enumerate(p.edges)]
+    survivors = [(*t, " ".join(str(q) for q in sorted({q for q, _, _ in found}) if q in KEPT)) for t, found in instances(PATTERNS).items()]
     path2 = f"SELECT e0.src AS b0, e0.dst AS b1, e1.dst AS b2 FROM edges e0, edges e1 WHERE e0.label = 3 AND e1.label = 1 AND e0.dst = e1.src"
     tables, where, var = _body(TRIANGLE)
     peers = "peers AS MATERIALIZED (SELECT src, dst FROM edges WHERE label = 7)"
     bfs = f"""WITH RECURSIVE {_GRAPH}, {peers},
-walk AS (SELECT min(src) AS id, 0 AS distance FROM peers UNION SELECT p.dst, w.distance + 1 FROM walk w JOIN peers p ON w.id = p.src WHERE w.distance < %d)
+walk AS (SELECT min(src) AS id, 0 AS distance FROM peers UNION SELECT p.dst, w.distance + 1 FROM walk w JOIN peers p ON w.id = p.src WHERE w.distance < (SELECT count(DISTINCT src) FROM peers))
 SELECT id, CAST(min(distance) AS %s) AS distance FROM walk GROUP BY id"""
     return {
         "graph_edges_by_label": f"WITH {_GRAPH} SELECT label, count(*) AS n_edges, CAST(sum(CASE WHEN seq > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_stream FROM edges GROUP BY label",
@@ -111,7 +134,7 @@ SELECT id, CAST(min(distance) AS %s) AS distance FROM walk GROUP BY id"""
         "scan_updates_typed": f"WITH {_GRAPH} SELECT seq, CAST(edge_type AS INTEGER) AS edge_type, src, dst FROM edges JOIN {_values(types, 'edge_type, tsl, tdl, tlabel')} ON sl = tsl AND dl = tdl AND label = tlabel WHERE seq > 0",
         "update_range": f"WITH {_GRAPH} SELECT seq, src, dst, label FROM edges WHERE seq BETWEEN 101 AND 300",
         "root_instances": f"SELECT query_id, src_label, dst_label, edge_label, src_var, dst_var FROM {_values(roots, 'query_id, src_label, dst_label, edge_label, src_var, dst_var')}",
-        "neighbour_scan": f"WITH {_GRAPH} SELECT dst AS supplier, count(*) AS n_orders FROM edges WHERE label = 5 AND dst % 10 = 0 GROUP BY dst",
+        "neighbour_scan": f"WITH {_GRAPH} SELECT dst AS supplier, count(*) AS n_orders FROM edges WHERE label = 5 GROUP BY dst",
         "match_path2_static": f"WITH {_GRAPH} {path2}",
         "match_triangle_static": f"WITH {_GRAPH} SELECT 0 AS query_id, count(*) AS total FROM {tables} WHERE {where}",
         "match_triangle_intersect": f"WITH {_GRAPH} SELECT {var[2]} AS supplier, count(*) AS n FROM {tables} WHERE {where} GROUP BY 1",
@@ -134,14 +157,31 @@ SELECT id, CAST(min(distance) AS %s) AS distance FROM walk GROUP BY id"""
         "topk_hot_vertices": f"WITH {_GRAPH} SELECT b1 AS part, count(*) AS n_new FROM ({_TRIANGLES}) GROUP BY b1 ORDER BY n_new DESC, part LIMIT 10",
         "expand_optional": f"WITH {_GRAPH} SELECT DISTINCT {2 * _K} + c_custkey AS customer, (SELECT count(*) FROM edges WHERE label = 3 AND dst = {2 * _K} + c_custkey) AS n_orders FROM customer",
         "expand_into": f"WITH {_GRAPH} SELECT a.dst AS p, count(*) AS n FROM edges a JOIN edges b ON a.src = b.src WHERE a.label = 4 AND a.seq > 0 AND b.label = 5 AND EXISTS (SELECT 1 FROM edges c WHERE c.label = 6 AND c.src = a.dst AND c.dst = b.dst) GROUP BY 1",
-        "visited_expand_bfs": bfs % (6, "INTEGER"),
-        "sssp": bfs % (40, "BIGINT"),
-        "resource_allocation_index": f"WITH {_GRAPH}, {peers}, deg AS (SELECT src, count(*) AS d FROM peers GROUP BY src) SELECT p.src AS a, p.dst AS b, round(coalesce(sum(1 / d), 0), 6) AS score FROM peers p LEFT JOIN (SELECT x.src AS xa, y.src AS yb, d FROM peers x JOIN peers y ON x.dst = y.dst JOIN deg ON deg.src = x.dst) c ON p.src = xa AND p.dst = yb WHERE p.src < p.dst AND p.src % 5 = 0 GROUP BY 1, 2",
+        "visited_expand_bfs": bfs % "INTEGER",
+        "sssp": bfs % "BIGINT",
+        "resource_allocation_index": f"WITH {_GRAPH}, {peers}, deg AS (SELECT src, count(*) AS d FROM peers GROUP BY src) SELECT p.src AS a, p.dst AS b, round(coalesce(sum(1 / d), 0), 6) AS score FROM peers p LEFT JOIN (SELECT x.src AS xa, y.src AS yb, d FROM peers x JOIN peers y ON x.dst = y.dst JOIN deg ON deg.src = x.dst) c ON p.src = xa AND p.dst = yb WHERE p.src < p.dst GROUP BY 1, 2",
         "project_node_props": f"WITH {_GRAPH} SELECT p_brand, count(*) AS n_new FROM ({_TRIANGLES}) JOIN part ON b1 = {4 * _K} + p_partkey GROUP BY 1",
         "project_edge_props": f"WITH {_GRAPH}, line AS (SELECT {5 * _K} + l_orderkey AS o, {4 * _K} + l_partkey AS p, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q FROM lineitem GROUP BY 1, 2) SELECT b2 AS supplier, CAST(sum(q) AS DOUBLE) AS quantity FROM ({_TRIANGLES}) JOIN line ON b0 = o AND b1 = p GROUP BY 1",
         "node_by_id": f"SELECT DISTINCT {2 * _K} + c_custkey AS id, 2 AS label FROM customer WHERE c_custkey = 1",
         "map_partition_rows": f"WITH {_GRAPH} SELECT label, count(*) AS n, max(seq) AS last_seq FROM edges WHERE seq > 0 GROUP BY label",
         "flat_map_rows": f"WITH {_GRAPH} SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges WHERE seq > 0 UNION ALL SELECT dst FROM edges WHERE seq > 0) GROUP BY id HAVING count(*) >= 20",
         "shuffle_barrier": f"WITH {_GRAPH} SELECT CAST(dst % 8 AS INTEGER) AS shard, count(*) AS n FROM edges WHERE seq > 0 GROUP BY 1",
+        "read_text_graph": f"WITH {_GRAPH}, {_VERTICES} SELECT 'vertex' AS kind, label, count(*) AS n FROM vertices GROUP BY label UNION ALL SELECT 'edge', label, count(*) FROM edges GROUP BY label",
+        "read_update_stream": f"WITH {_GRAPH} SELECT seq, 'e' AS kind, CAST(1 AS INTEGER) AS op, src AS id1, dst AS id2, CAST(label AS INTEGER) AS label FROM edges WHERE seq > 0",
+        "read_pattern_folder": f"SELECT query_id, edge_pos, src_var, dst_var, src_label, dst_label, edge_label FROM {_values(shapes, 'query_id, edge_pos, src_var, dst_var, src_label, dst_label, edge_label')}",
+        "first_label_wins": f"WITH {_VERTICES} SELECT CASE WHEN label = 2 AND (id - {2 * _K}) % 3 = 0 AND id > {2 * _K} THEN {REVIVED} ELSE label END AS label, count(*) AS n_vertices FROM vertices GROUP BY 1",
+        "late_updates": "SELECT * FROM (VALUES (0, true), (1, false), (2, true)) AS t(batch_id, accepted)",
+        "surviving_queries": f"WITH {_GRAPH} SELECT seq, queries, dst AS last FROM edges JOIN {_values(survivors, 'tsl, tdl, tlabel, queries')} ON sl = tsl AND dl = tdl AND label = tlabel WHERE seq > 0 AND queries <> ''",
+        "limit_rows": f"WITH {_GRAPH} SELECT count(*) AS n FROM (SELECT * FROM edges LIMIT 100)",
+        "send_back": f"WITH {_GRAPH} SELECT CAST(seq > 0 AS INTEGER) AS streamed, label, count(*) AS n FROM edges GROUP BY 1, 2",
+        "page_rank_orders": _page_rank(RANK_ROUNDS),
+        "peer_components": f"""WITH RECURSIVE {_GRAPH}, {peers}, reach AS (SELECT src AS id, src AS root FROM peers UNION SELECT p.dst, r.root FROM reach r JOIN peers p ON p.src = r.id)
+SELECT id, min(root) AS component FROM reach GROUP BY id""",
+        "peer_triangles": f"""WITH {_GRAPH}, {peers}, t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM peers a JOIN peers b ON a.dst = b.src JOIN peers c ON c.src = a.src AND c.dst = b.dst WHERE a.src < a.dst AND b.src < b.dst)
+SELECT id, count(*) AS triangles FROM (SELECT x AS id FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t) GROUP BY id""",
+        "match_triangle_counted": f"WITH {_GRAPH} SELECT {var[2]} AS supplier, count(*) AS n FROM {tables} WHERE {where} GROUP BY 1",
+        "single_edge_scan": f"WITH {_GRAPH}, {peers}, one AS (SELECT src, min(dst) AS dst FROM peers WHERE src = (SELECT min(src) FROM peers) GROUP BY src) SELECT edges.src, edges.dst, label FROM edges JOIN one ON edges.src = one.src AND edges.dst = one.dst",
+        "parts_bitset": f"WITH {_GRAPH} SELECT dst AS supplier, count(DISTINCT src) AS n_parts FROM edges WHERE label = 6 GROUP BY dst",
+        "transfer_customers": f"WITH {_GRAPH} SELECT dst AS nation, count(*) AS n_customers FROM edges WHERE label = 1 GROUP BY dst",
         "loop_unrolled": f"WITH {_GRAPH}, {peers} SELECT c.dst AS at, count(*) AS paths FROM peers a JOIN peers b ON a.dst = b.src JOIN peers c ON b.dst = c.src WHERE a.src = (SELECT min(src) FROM peers) GROUP BY 1",
     }

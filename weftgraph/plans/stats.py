@@ -19,15 +19,23 @@ def edge_statistics(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Degrees:
-    """Mean degree by (direction, label); one number if nothing is known."""
+    """Mean degree, and vertices reached, by (direction, label); one number if nothing is known."""
 
     mean: dict[tuple[str, int], float] = field(default_factory=dict)
+    edges: dict[int, float] = field(default_factory=dict)
 
     @classmethod
     def of(cls, edges: DataFrame) -> Degrees:
         """From one aggregate over the edges: a row per edge label reaches the driver."""
         rows = edge_statistics(edges).collect()
-        return cls({("out", r["label"]): r["mean_out"] for r in rows} | {("in", r["label"]): r["mean_in"] for r in rows})
+        mean = {("out", r["label"]): r["mean_out"] for r in rows} | {("in", r["label"]): r["mean_in"] for r in rows}
+        return cls(mean, {r["label"]: float(r["edges"]) for r in rows})
 
     def cost(self, direction: str, label: int) -> float:
         return self.mean.get((direction, label), 1.0)
+
+    def chance(self, direction: str, label: int) -> float:
+        """Share of the vertices at the other end that a vertex is linked to: how many rows a further link keeps."""
+        other = "in" if direction == "out" else "out"
+        reached = self.edges.get(label, 0.0) / max(1.0, self.mean.get((other, label), 1.0))
+        return min(1.0, self.cost(direction, label) / reached) if reached else 0.5

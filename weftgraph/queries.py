@@ -36,6 +36,8 @@ PATTERNS = [
 PATH2 = Pattern.of("path2", [ORDER, CUSTOMER, NATION], [(0, 1, BY_CUSTOMER), (1, 2, CUSTOMER_NATION)], SYMMETRIC)
 TRIANGLE = PATTERNS[2]
 BATCH = 1000
+#: Update files, and so micro-batches, of the streaming query.
+STREAM_BATCHES = 4
 #: In the query with deletions, every 5th update's edge ends this many updates later.
 DELETE_EVERY, DELETE_AFTER = 5, 500
 #: In the query with vertex deletions, customers with such keys go.
@@ -176,16 +178,19 @@ def sink_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structured Streaming over a folder of update files; totals per pattern."""
+    """Structured Streaming over ordered update files, a batch each; totals per pattern."""
     g = graph(spark, sf_dir)
     home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     picked = [BY_CUSTOMER, HAS_PART, HAS_SUPPLIER, PART_SUPPLIER]
     fixed = g.edges.where(F.col("label").isin(*picked) & (F.col("seq") == 0))
     updates = g.edges.where(F.col("label").isin(*picked) & (F.col("seq") > 0)).select("seq", F.lit("e").alias("kind"), F.lit(1).alias("op"), F.col("src").alias("id1"), F.col("dst").alias("id2"), "label")
-    updates.coalesce(1).write.parquet(f"{home}/updates")
+    last = updates.agg(F.max("seq")).first()[0] or 0
+    for k in range(STREAM_BATCHES):  # the files' times give their order
+        part = updates.where((F.col("seq") > k * last // STREAM_BATCHES) & (F.col("seq") <= (k + 1) * last // STREAM_BATCHES))
+        part.coalesce(1).write.mode("append").parquet(f"{home}/updates")
     engine = StreamEngine(spark, home, _query(PATTERNS, "order_part_order", "triangle"), symmetric=SYMMETRIC)
     engine.start_from(g.vertices.select("id", "label"), fixed.select("src", "dst", "label"))
-    source = spark.readStream.schema(updates.schema).parquet(f"{home}/updates")
+    source = spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/updates")
     engine.stream(source, f"{home}/checkpoint").awaitTermination()
     return engine.totals()
 

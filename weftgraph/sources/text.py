@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.lineage import cut
 from weftgraph.plans.pattern import SYMMETRIC_LABELS, Pattern
 
 
@@ -38,19 +39,26 @@ def read_edges(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return t.where(_checked(good, F.col("line"))).where(F.col("t")[0] == "e").select(*(F.col("t")[i + 1].cast("long" if i < 2 else "int").alias(c) for i, c in enumerate(("src", "dst", "label"))))
 
 
-def read_updates(spark: SparkSession, path: str) -> DataFrame:
-    """seq (line order from 1), kind (v or e), op (1 or -1), id1, id2 (null for v), label.
+def read_updates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """seq (line order from 1, over the files in order of their names), kind (v or e), op (1 or -1), id1, id2 (null for v), label.
 
-    A stream file is read as one text and numbered in file order, so the order never depends on
-    how tasks split the file; larger streams should come as a table with a `seq` column.
+    Files are read in splits. A line's number is the count of the lines in earlier splits, of which
+    there is one row each, plus its place in its own; the numbers are fixed by cutting lineage.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    t = lines.select("n", F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line")).where("line <> ''").select("n", "line", F.split("line", " ").alias("t"))
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line")
+    )
+    # lines of a split follow each other in a partition, so these ids grow in file order within it
+    placed = cut(lines.where("line <> ''").withColumn("place", F.monotonically_increasing_id()))
+    splits = placed.groupBy("file", "at").agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = splits.select("file", "at", (F.sum("n").over(upto) - F.col("n") - F.col("low") + 1).alias("shift"))
+    numbered = placed.join(offsets, ["file", "at"])
+    t = numbered.select((F.col("place") + F.col("shift")).alias("seq"), "line", F.split("line", " ").alias("t"))
     kind = F.regexp_replace(F.col("t")[0], "^-", "")
     good = ((kind == "v") & (F.size("t") == 3)) | ((kind == "e") & (F.size("t") == 4))
-    row = t.where(_checked(good, F.col("line")))
-    return row.select(
-        F.row_number().over(Window.orderBy("n")).cast("long").alias("seq"),
+    return t.where(_checked(good, F.col("line"))).select(
+        "seq",
         kind.alias("kind"),
         F.when(F.col("t")[0].startswith("-"), -1).otherwise(1).alias("op"),
         F.col("t")[1].cast("long").alias("id1"),
@@ -59,6 +67,18 @@ def read_updates(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def graph_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """value: the text lines of vertices(id, label) and edges(src, dst, label)."""
+    v = vertices.select(F.concat_ws(" ", F.lit("v"), "id", "label").alias("value"))
+    return v.unionByName(edges.select(F.concat_ws(" ", F.lit("e"), "src", "dst", "label").alias("value")))
+
+
+def update_line() -> F.Column:
+    """The text line of an update."""
+    sign = F.concat(F.when(F.col("op") < 0, "-").otherwise(""), F.col("kind"))
+    return F.concat_ws(" ", sign, F.col("id1"), F.col("id2"), F.col("label"))
+
+
 def parse_pattern(text: str, name: str, symmetric: frozenset[int] = SYMMETRIC_LABELS) -> Pattern:
     pattern = Pattern(name, symmetric=symmetric)
     vertices, edges = {}, []
@@ -81,10 +101,22 @@ def parse_pattern(text: str, name: str, symmetric: frozenset[int] = SYMMETRIC_LA
     return pattern
 
 
-def _natural(path: Path) -> list:
-    return [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", path.name)]
+def _natural(name: str) -> list:
+    return [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", name)]
+
+
+def read_patterns(spark: SparkSession, folder: str, symmetric: frozenset[int] = SYMMETRIC_LABELS) -> list[Pattern]:
+    """The pattern files below a folder that Spark reads, in natural order of their paths; the driver gets their few lines."""
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").collect()
+    found = sorted(((r["path"], r["value"]) for r in files), key=lambda x: _natural(x[0]))
+    return [parse_pattern(text, path.rsplit("/", 1)[-1].split(".")[0], symmetric) for path, text in found]
+
+
+def pattern_text(p: Pattern) -> str:
+    """The text of a pattern file."""
+    return "\n".join([f"v {i} {x}" for i, x in enumerate(p.labels)] + [f"e {e.src} {e.dst} {e.label}" for e in p.edges])
 
 
 def load_patterns(folder: str, symmetric: frozenset[int] = SYMMETRIC_LABELS) -> list[Pattern]:
     """The pattern files of a folder in natural order of their names."""
-    return [parse_pattern(p.read_text(), p.stem, symmetric) for p in sorted((p for p in Path(folder).iterdir() if p.is_file()), key=_natural)]
+    return [parse_pattern(p.read_text(), p.stem, symmetric) for p in sorted((p for p in Path(folder).iterdir() if p.is_file()), key=lambda p: _natural(p.name))]
