@@ -26,7 +26,7 @@ from weftgraph.llm.slices import distinct_slices
 from weftgraph.llm.tables import KeyTable, ListCache, by_length, gather, merge_rows, padded
 
 #: Pieces a generation of a worker's cache holds (results do not depend on it).
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Bytes of the pieces that are merged many at a time; longer ones are merged alone.
 JOINT_BYTES = 64
 
@@ -135,9 +135,10 @@ class ByteBPE:
     def joins(self) -> KeyTable:
         """a * size + b -> id of two joined tokens; made when a worker first encodes."""
         size, ranks = len(self.size), self.ranks
-        found = [(ranks[a] * size + ranks[b], i) for t, i in ranks.items() for k in range(1, len(t)) if (a := t[:k]) in ranks and (b := t[k:]) in ranks]
-        table, both = KeyTable(2 * len(found)), np.array(found, np.int64).reshape(-1, 2)
-        table.put(both[:, 0], both[:, 1].astype(np.int32))
+        found = ((ranks[a] * size + ranks[b], i) for t, i in ranks.items() for k in range(1, len(t)) if (a := t[:k]) in ranks and (b := t[k:]) in ranks)
+        both = np.fromiter(found, "i8,i4")
+        table = KeyTable(2 * len(both))
+        table.put(both["f0"], both["f1"])
         return table
 
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

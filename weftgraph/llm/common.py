@@ -54,7 +54,7 @@ def steps(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int, int
 
 
 #: Bytes up to which a small side is broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 10 << 20
 
 
 def _bytes(value: Column, kind: T.DataType) -> Column:

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,15 @@ from weftgraph.llm.bpe import appended
 from weftgraph.llm.common import bounded_batches, fresh, steps, with_fields
 from weftgraph.llm.pretokenize import LETTER, code_points, classes
 from weftgraph.llm.slices import distinct_slices
+from weftgraph.llm.tables import ListCache, gather
 
 UNKNOWN = "und"
 #: Labelled rows of each language that a model is fitted on, about; labels beyond which it raises; n-gram lengths.
 SAMPLE_ROWS, MOST_LANGUAGES, GRAMS = 600, 1_000, (5, 4, 3, 2, 1)
 #: One of so many sample rows is kept for the temperature.
 TEMPER_FOLDS = 5
-CACHE_WORDS = 300_000
+#: Words of one of a worker's two cache generations (results do not depend on it).
+CACHE_WORDS = 150_000
 #: Pseudo-count of an unseen word or n-gram, and the weight of an n-gram score against a word's.
 SMOOTH, GRAM_WEIGHT = 0.5, 0.7
 
@@ -50,44 +53,38 @@ class LanguageModel:
     grams: dict[str, int]
     rows: np.ndarray
     temperature: float = 1.0
-    seen: dict[str, int] = field(default_factory=dict)
+    cache: ListCache | None = field(default=None, compare=False)
 
-    def parts(self, w: str) -> tuple[list[int], float]:
-        """(rows whose mean scores a word, weight): its own, or its longest n-grams of which any is known."""
+    def parts(self, w: str) -> list[int]:
+        """Rows whose mean scores a word: its own, or its longest n-grams of which any is known."""
+        w = w.lower()
         known = self.words.get(w)
         if known is not None:
-            return [known], 1.0
+            return [known]
         marked, get = f"^{w}$", self.grams.get
         for n in GRAMS:
             found = [g for i in range(len(marked) - n + 1) if (g := get(marked[i : i + n])) is not None]
             if found:
-                return found, GRAM_WEIGHT
-        return [], 0.0
-
-    def word_rows(self, words: list[str]) -> np.ndarray:
-        """A row of scores for each word, through a bounded cache."""
-        seen = self.seen
-        if not seen or len(seen) > CACHE_WORDS:
-            seen.clear()
-            self.kept, self.filled = np.zeros((1024, len(self.languages)), np.float32), 0
-        new = [w for w in dict.fromkeys(words) if w not in seen]
-        if new:
-            flat, counts, weights = [], [], []
-            for w in new:
-                found, weight = self.parts(w.lower())
-                flat += found
-                counts.append(len(found))
-                weights.append(weight)
-            count = np.array(counts)
-            sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.rows[np.array(flat, np.int64)], axis=0, dtype=np.float64)])
-            ends = np.cumsum(count)
-            mean = (sums[ends] - sums[ends - count]) / np.maximum(count, 1)[:, None] * np.array(weights)[:, None]
-            while self.filled + len(new) > len(self.kept):
-                self.kept = np.concatenate([self.kept, np.zeros_like(self.kept)])
-            self.kept[self.filled : self.filled + len(new)] = mean
-            seen.update(zip(new, range(self.filled, self.filled + len(new))))
-            self.filled += len(new)
-        return self.kept[np.fromiter(map(seen.__getitem__, words), np.int64, len(words))]
+                return found
+        return []
+
+    def _made(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.parts(w) for w in words]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths
+
+    def word_scores(self, joined: str, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """A row of scores for each word (a slice of the text `joined`); rows of words are kept in a bounded cache."""
+        if self.cache is None:
+            self.cache = ListCache(self._made, CACHE_WORDS)
+        values, start, count = self.cache.take(joined, cps, starts, ends, hashes)
+        flat = gather(values, start, count)
+        ends = np.cumsum(count)
+        sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.rows[flat], axis=0, dtype=np.float64)])
+        mean = (sums[ends] - sums[ends - count]) / np.maximum(count, 1)[:, None]
+        own = np.zeros(len(count), bool)
+        own[count > 0] = flat[(ends - count)[count > 0]] < len(self.words)
+        return mean * np.where(own, 1.0, GRAM_WEIGHT)[:, None]
 
     def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(summed scores by language, number of words) of each text."""
@@ -97,8 +94,8 @@ class LanguageModel:
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if not len(starts) or not self.languages:
             return np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        which, first, _ = distinct_slices(cps, starts, ends)
-        scores = self.word_rows([joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+        which, first, hashes = distinct_slices(cps, starts, ends)
+        scores = self.word_scores(joined, cps, starts[first], ends[first], hashes)
         sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(scores[which], axis=0, dtype=np.float64)])
         upto = np.searchsorted(starts, stops)
         fro = np.concatenate([[0], upto[:-1]])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 #: Odd, so it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
@@ -34,9 +34,9 @@ def distinct_slices(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     np.cumsum(mixed * powers[: len(cps)], out=sums[1:])
     length = ends - starts
     key = (sums[ends] - sums[starts]) * inverse[starts] + length.astype(np.uint64)
-    which, values = pd.factorize(key)
-    which = which.astype(np.int64)
-    first = np.zeros(len(values), np.int64)
+    encoded = pa.array(key).dictionary_encode()  # by hashing, in the order of first places
+    which = np.asarray(encoded.indices).astype(np.int64)
+    first = np.zeros(len(encoded.dictionary), np.int64)
     first[which[::-1]] = np.arange(len(starts) - 1, -1, -1)
     rep = first[which]
     bad = length != length[rep]

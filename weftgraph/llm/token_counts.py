@@ -37,7 +37,7 @@ from weftgraph.llm.tables import KeyTable, ListCache, by_length, gather, merge_r
 #: The library's mark for a blank (fixed value).
 MARK = "▁"
 #: Segments of one of a worker's two cache generations, and pairs of pieces whose seam is remembered (results depend on neither).
-CACHE_SEGMENTS, CACHE_PAIRS = 300_000, 2_000_000
+CACHE_SEGMENTS, CACHE_PAIRS = 200_000, 2_000_000
 #: Code points of the segments that are computed many at a time (longer ones are computed alone), and cells of such a matrix.
 JOINT_POINTS, JOINT_CELLS = 64, 1 << 18
 
