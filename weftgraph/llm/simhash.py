@@ -274,7 +274,7 @@ def block_links(nodes: DataFrame, keys: Column, radius: int, words: list[Column]
     names = [f"f{i}" for i in range(len(words))]
     near = Near(radius)
     keyed = nodes.select(F.explode(keys).alias("key"), F.col(node).alias("node"), *(w.alias(c) for w, c in zip(words, names)))
-    found = cut(_pass(keyed, len(words), near, heavy))
+    found = cut(_pass(keyed, len(words), near, heavy).hint("rebalance"))  # few rows: few files
     out = found.where("key IS NULL").select("a", "b")
     rest = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), *names)
     if rest.isEmpty():
