@@ -156,24 +156,25 @@ def fit_languages(labelled: DataFrame, id: str = "doc_id", text: str = "text", l
     picked = known.where(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(parts)) < most[F.col("lang")])
     kept_out = F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(TEMPER_FOLDS)) == 0
     seen = picked.where(~kept_out).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    found = seen.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("by")).collect()
-    found.sort(key=lambda r: r["word"])
+    # as Arrow, so that the driver holds no row objects
+    found = seen.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n")).orderBy("word", "lang").toArrow()
+    coded = found["word"].combine_chunks().dictionary_encode()
     number = {x: i for i, x in enumerate(languages)}
-    counts = np.zeros((len(found), len(languages)))
-    for i, r in enumerate(found):
-        for x in r["by"]:
-            counts[i, number[x["lang"]]] = x["n"]
-    words = {r["word"]: i for i, r in enumerate(found)}
-    marked = [f"^{w}$" for w in words]
+    counts = np.zeros((len(coded.dictionary), len(languages)))
+    counts[np.asarray(coded.indices), np.fromiter((number[x.as_py()] for x in found["lang"]), np.int64, len(found))] = np.asarray(found["n"])
+    words = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+    del found, coded
     tables, grams = [_log_frequencies(counts)], {}
+    sizes_of = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     for k in GRAMS:
         begin = len(words) + len(grams)
         own: dict[str, int] = {}
-        at = np.array([own.setdefault(m[i : i + k], len(own)) for m in marked for i in range(len(m) - k + 1)], np.int64)
-        of = np.repeat(np.arange(len(marked)), [max(0, len(m) - k + 1) for m in marked])
-        table = np.stack([np.bincount(at, counts[of, j], minlength=len(own)) for j in range(len(languages))], axis=1)
-        tables.append(_log_frequencies(table))
+        per = np.maximum(sizes_of - k + 1, 0)
+        at = np.fromiter((own.setdefault(m[i : i + k], len(own)) for m in map("^{}$".format, words) for i in range(len(m) - k + 1)), np.int64, int(per.sum()))
+        of = np.repeat(np.arange(len(words)), per)
+        tables.append(_log_frequencies(np.stack([np.bincount(at, counts[of, j], minlength=len(own)) for j in range(len(languages))], axis=1)))
         grams |= {g: begin + i for g, i in own.items()}
+        del own, at, of
     model = LanguageModel(languages, words, grams, np.concatenate(tables))
     model.temperature = fit_temperature(*_sample_evidence(picked.where(kept_out), model))
     return model
