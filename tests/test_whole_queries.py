@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from weftgraph.queries import graph, queries
-from weftgraph.sources.relational import CUSTOMER, PEER_RANGE, PEERS, STRIDE, SUPPLIER
+from weftgraph import queries_algorithms
+from weftgraph.operators.match import Matcher
+from weftgraph.queries import TRIANGLE, graph, queries
+from weftgraph.sources.relational import CUSTOMER, PEER_RANGE, PEERS, STRIDE, SUPPLIER, line_graph
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,3 +41,26 @@ def test_resource_allocation_scores_all_peers(spark):
     got = {(r.a, r.b): r.score for r in queries()["resource_allocation_index"](spark, DATA).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert any(a % 5 for a, _ in want)
+
+
+def test_counted_triangles_build_little(spark, monkeypatch):
+    """The whole result without the settled graph; only the cheapest link lists its proposals."""
+    monkeypatch.setattr(queries_algorithms, "graph", lambda *a: (_ for _ in ()).throw(AssertionError("the whole graph was built")))
+    t = pq.read_table(f"{DATA}/lineitem.parquet", columns=["l_orderkey", "l_partkey", "l_suppkey"]).to_pandas()
+    parts, suppliers, sold = defaultdict(set), defaultdict(set), set()
+    for o, p, s in t.itertuples(index=False):
+        parts[o].add(p)
+        suppliers[o].add(s)
+        sold.add((p, s))
+    want = Counter(SUPPLIER * STRIDE + s for o in parts for p in parts[o] for s in suppliers[o] if (p, s) in sold)
+    assert {r.supplier: r.n for r in queries_algorithms.match_triangle_counted(spark, DATA).collect()} == want
+    joined, counted = [], Matcher._counted
+
+    def seen(self, rows, s, links):
+        joined.append(counted(self, rows, s, links)._jdf.queryExecution().optimizedPlan().toString())
+        return counted(self, rows, s, links)
+
+    monkeypatch.setattr(Matcher, "_counted", seen)
+    queries_algorithms.match(line_graph(spark, DATA), TRIANGLE, proposer="count")
+    # proposals are listed once, so no union of what every link proposes
+    assert len(joined) == 1 and "Union" not in joined[0]

@@ -3,7 +3,7 @@
 Rows of a stage: seq (the time of the root update, or 0 for static matching) and b0..bk, the bound
 vertices. Extension by a vertex is an equi-join over the cheapest link; the other links of the
 same vertex are left-semi joins (or, with proposer="intersect", intersections of adjacency arrays that
-start at the smallest; or, with "count", counts of proposals). Rows of a stage that several others read
+start at the smallest; or, with "count", counts of proposals of what the cheapest link proposes). Rows of a stage that several others read
 are kept (memory, then disk) while a result is computed.
 """
 
@@ -129,15 +129,21 @@ class Matcher:
         return rows.select(*kept, F.explode(both).alias(f"b{new}"))
 
     def _counted(self, rows: DataFrame, s: Stage, links: list[Link]) -> DataFrame:
-        """Candidates as the vertices that all links propose, by counting the proposals of each."""
-        new, hits = s.depth - 1, None
-        for x in links:
-            side = self._side(x, s.labels, new)
-            one = rows.join(side, (F.col(f"b{x.position}") == F.col("bound")) & self._visible(x.tie)).select(*rows.columns, F.col("new_").alias(f"b{new}"))
-            hits = one if hits is None else hits.unionByName(one)
-        # an edge lives once at a time, so a link proposes a vertex once for each row
+        """Candidates as the vertices that all links propose, by counting the proposals of each.
+
+        The first link, which is the cheapest, lists its proposals; of the others only those of its vertices are
+        counted, as no others can be proposed by all.
+        """
+        new = s.depth - 1
         keys = [*rows.columns, f"b{new}"]
-        return hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("hits_")).where(F.col("hits_") == len(links)).select(*keys)
+        first = links[0]
+        listed = rows.join(self._side(first, s.labels, new), (F.col(f"b{first.position}") == F.col("bound")) & self._visible(first.tie))
+        out = listed.withColumn(f"b{new}", F.col("new_")).select(*keys, F.lit(1).alias("hits_"))
+        for x in links[1:]:
+            # an edge lives once at a time, so a link proposes a vertex once for each row
+            on = (F.col(f"b{x.position}") == F.col("bound")) & (F.col(f"b{new}") == F.col("new_")) & self._visible(x.tie)
+            out = out.join(self._side(x, s.labels, new), on, "left").select(*keys, (F.col("hits_") + F.col("bound").isNotNull().cast("int")).alias("hits_"))
+        return out.where(F.col("hits_") == len(links)).select(*keys)
 
     def rows(self, s: Stage) -> DataFrame:
         if s.number in self._rows:

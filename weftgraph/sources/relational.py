@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.ordering import numbered
 from weftgraph.operators.graph import NEVER, Graph
+from weftgraph.plans.stats import Degrees
 
 REGION, NATION, CUSTOMER, SUPPLIER, PART, ORDER = range(6)
 #: Edge labels.
@@ -85,3 +86,30 @@ def relational_graph(spark: SparkSession, sf_dir: str) -> Graph:
     never = F.lit(NEVER)
     v = vertices(t).select("id", "label", F.lit(0).cast("long").alias("ins_seq"), never.alias("del_seq"))
     return Graph(v, edges(t), SYMMETRIC)
+
+
+#: Source and target, with their keys, of the labels that come from order lines.
+LINES = {HAS_PART: (ORDER, "l_orderkey", PART, "l_partkey"), HAS_SUPPLIER: (ORDER, "l_orderkey", SUPPLIER, "l_suppkey"), PART_SUPPLIER: (PART, "l_partkey", SUPPLIER, "l_suppkey")}
+
+
+def line_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The edges of order lines as they are after all updates, every row static, for queries that need no other labels or times.
+
+    Nothing is written: an edge's label, ends and times are constants beside two keys. Edges of orders, which have
+    few lines, are dealt by order at once, as joins need them. The degrees are those of the lines, which repeat
+    some edges, with approximate counts of vertices.
+    """
+    t = Tables(spark, sf_dir)
+    line, found = t["lineitem"], None
+    for label, (a, akey, b, bkey) in LINES.items():
+        pairs = line.select(vertex(a, akey).alias("src"), vertex(b, bkey).alias("dst"))
+        one = (pairs.repartition("src") if a == ORDER else pairs).distinct()
+        one = one.select("src", "dst", F.lit(label).alias("label"), F.lit(a).alias("src_label"), F.lit(b).alias("dst_label"))
+        found = one if found is None else found.unionByName(one)
+    zero, never = F.lit(0).cast("long"), F.lit(NEVER)
+    counts = line.agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(k).alias(k) for k in ("l_orderkey", "l_partkey", "l_suppkey"))).first()
+    mean = {}
+    for label, (_, akey, _, bkey) in LINES.items():
+        mean |= {("out", label): counts["n"] / max(1, counts[akey]), ("in", label): counts["n"] / max(1, counts[bkey])}
+    v = vertices(t).select("id", "label", zero.alias("ins_seq"), never.alias("del_seq"))
+    return Graph(v, found.withColumn("seq", zero).withColumn("del_seq", never), SYMMETRIC, Degrees(mean, {label: float(counts["n"]) for label in LINES}))
