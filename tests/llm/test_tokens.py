@@ -13,16 +13,19 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 from weftgraph.llm import pretokenize as pre
 from weftgraph.llm.bpe import ByteBPE, bpe_decode, bpe_encode, load_ranks, merge
 from weftgraph.llm.slices import distinct_slices
 from weftgraph.llm.tables import KeyTable, ListCache
 from weftgraph.llm.token_counts import PieceModel, longest_prefix, prefix_token_counts, token_totals, total_tokens
-from weftgraph.llm.token_files import ids_crc32, read_tokens, write_tokens
+from weftgraph.llm.token_files import LibraryEncoder, encoder, ids_crc32, read_tokens, write_tokens
 
 RANKS, TOKENIZER, PIECES = (P.path(x) for x in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 ALPHABET = " \t\n'  a sS'tTmdrevl'lé 1²!~漢🙂 \u0085\x1c\x00　٣"
+OWN = Tokenizer.from_file(TOKENIZER)
 TEXT = st.text(st.one_of(st.sampled_from(ALPHABET), st.characters(exclude_categories=["Cs"])), max_size=40)
 
 
@@ -112,6 +115,47 @@ def test_token_files(spark, odd, none, tmp_path):
     assert read_tokens(spark, str(tmp_path / "n")).count() == 0
 
 
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, own):
+        self.own, self.texts = own, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.own.encode_batch_fast(texts, **options)
+
+
+def test_pieces_of_all_kinds_are_encoded_many_in_a_text():
+    code, own = LibraryEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    counted = {k: Counted(v) for k, v in vars(code).items() if isinstance(v, Tokenizer)}
+    vars(code).update(counted)
+    words = [f"{a}{b}{c}" for a in ("", " ") for b in ("ab", "é", "漢", "🙂", "!", "\u0085") for c in map(chr, range(0x4E00, 0x4E64))]
+    texts = [*words, *map(str, range(1000, 2000)), *("\n" * k + "x" for k in range(2, 40)), *("~" * k for k in range(1, 40))]
+    ids, per = code.encode(texts)
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert per.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+    assert sum(c.texts for c in counted.values()) <= 20  # about 2,500 distinct pieces
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXT, min_size=1, max_size=5))
+def test_library_encoder_equals_the_library(texts):
+    ids, per = encoder(TOKENIZER).encode(texts)
+    want = [OWN.encode(t, add_special_tokens=False).ids for t in texts]
+    assert per.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
+def test_vocabulary_without_some_bytes(tmp_path):
+    own = Tokenizer(BPE({"a": 0, "b": 1, "Ġ": 2, "ab": 3, "Ġab": 4}, [("a", "b"), ("Ġ", "ab")]))
+    own.pre_tokenizer = ByteLevel(add_prefix_space=False)
+    own.save(str(tmp_path / "few.json"))
+    texts = ["ab c a", "", "ccc", "ab ab\xff b", "\n"]
+    ids, per = LibraryEncoder(str(tmp_path / "few.json")).encode(texts)
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert per.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
 def test_token_file_format(spark, odd, tmp_path):
     path = str(tmp_path / "t")
     write_tokens(odd, path, TOKENIZER, files=1)
@@ -173,6 +217,28 @@ def test_cache_generations_and_collisions(monkeypatch):
     assert len(made) < 60 * 12
 
 
+def test_list_cache_finds_wide_pieces_again():
+    made = []
+
+    def make(new):
+        made.extend(new)
+        return np.array([ord(w[0]) for w in new], np.int32), np.ones(len(new), np.int64)
+
+    cache, words = ListCache(make, 20), ["漢", "\uf642", "🙂", "ab"]  # the third is the second in its lower 16 bits
+    for some in (words[:2], words, words):
+        cps = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(w) for w in some])
+        values, start, _ = cache.take("".join(some), cps, ends - [len(w) for w in some], ends, np.array([7 + len(w) for w in some]))
+        assert values[start].tolist() == [ord(w[0]) for w in some]
+    hashes = np.array([100, 101, 102, 103])
+    made.clear()
+    for _ in range(3):
+        cps = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(w) for w in words])
+        cache.take("".join(words), cps, ends - [len(w) for w in words], ends, hashes)
+    assert made == words
+
+
 def test_key_table():
     rng = np.random.default_rng(2)
     table, keys = KeyTable(8), rng.choice(1 << 40, 3000, replace=False)

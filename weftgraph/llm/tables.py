@@ -77,7 +77,7 @@ class _Generation:
 
     def __init__(self) -> None:
         self.n, self.place = 0, KeyTable()
-        self.points, self.point_start, self.point_length = Grown(np.int32), Grown(np.int64), Grown(np.int64)
+        self.points, self.point_start, self.point_length = Grown(np.uint16), Grown(np.int64), Grown(np.int64)
         self.values, self.start, self.length = Grown(np.int32), Grown(np.int64), Grown(np.int64)
 
     def find(self, cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -95,7 +95,10 @@ class _Generation:
         """Rows of the added slices; one whose hash is taken is held but never found again."""
         self.point_start.add(self.points.n + np.cumsum(lengths) - lengths)
         self.point_length.add(lengths)
-        self.points.add(gather(cps, starts, lengths).astype(np.int32))
+        points = gather(cps, starts, lengths)
+        if self.points.data.dtype == np.uint16 and points.max(initial=0) > 0xFFFF:
+            self.points.data = self.points.data.astype(np.int32)
+        self.points.add(points)
         self.start.add(self.values.n + np.cumsum(counts) - counts)
         self.length.add(counts)
         self.values.add(values)

@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import PieceEncoder, int_lists
 from weftgraph.llm.common import bounded_batches, fresh, steps
-from weftgraph.llm.tables import gather
 
 #: Writer settings: version 2 pages give delta encoding where no dictionary is kept.
 WRITER = {
@@ -47,72 +46,70 @@ WRITER = {
     "parquet.columnindex.truncate.length": "64",
 }
 
-#: Words that the library encodes in one text.
-JOINT_WORDS = 1_000
+#: Pieces a generation of a worker's cache holds (results do not depend on it).
+CACHE_PIECES = 400_000
+#: Pieces that the library encodes in one text.
+JOINT_PIECES = 200
+#: Parts pieces in such a text; a byte that UTF-8 never has, and a character that stands for no byte.
+GAP_BYTE, GAP = b"\xff", "\n"
 #: Stored bytes of input for each token file at most, about.
 FILE_BYTES = 128 << 20
 
 
+def byte_letters() -> np.ndarray:
+    """Code point of the character that stands for each byte in byte-level tokens, GAP for GAP_BYTE."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = np.arange(256, dtype="<u4")
+    out[np.setdiff1d(np.arange(256), shown)] = 256 + np.arange(256 - len(shown))
+    out[ord(GAP_BYTE)] = ord(GAP)
+    return out
+
+
 class LibraryEncoder:
     """Ids as the tokenizers library gives them.
 
     The library's pre-tokenizer cuts a text into the pieces that `pretokenize` finds and
     encodes each alone, so each distinct piece is encoded by the library once per worker. A
-    text with one of its special strings, or a code point that the library's pre-tokenizer
-    classes otherwise, is encoded by the library as a whole.
+    text with one of its special strings is encoded by the library as a whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Tokenizer.from_file(path)
+        self.joint = Tokenizer(self.library.model)  # for pieces that are written as byte letters already
+        self.joint.pre_tokenizer = CharDelimiterSplit(GAP)
+        self.letters = byte_letters()
         vocabulary = self.library.get_vocab()
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.size[list(vocabulary.values())] = list(map(len, vocabulary))  # a byte is one character of a token
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache = PieceEncoder(self._pieces)
+        self.cache = PieceEncoder(self._pieces, CACHE_PIECES)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joint(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """(ids, number of each) of words encoded as one text, if each word's bytes are whole tokens there."""
-        ids = np.array(self._whole(["".join(words)])[0], np.int32)
-        ends = np.cumsum(np.fromiter((len(w.encode("utf-8")) for w in words), np.int64, len(words)))
-        until = np.cumsum(self.size[ids])
-        at = np.searchsorted(until, ends)
-        if until[-1] != ends[-1] or (until[at] != ends).any():
-            return None
-        return ids, np.diff(at, prepend=-1)
-
     def _pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of distinct pieces, number of each).
 
-        Words after one blank are encoded many in one text, since the library cuts it at the same
-        blanks; where the words' bytes don't end with tokens, and for all else, each alone.
+        Many are encoded in one text, which the library cuts at GAP only; where the pieces' bytes
+        don't end with tokens (a vocabulary without some bytes), each alone.
         """
-        plain = [len(w) > 1 and w[0] == " " and w[1:].isalpha() for w in new]
-        joint = [i for i, p in enumerate(plain) if p]
-        alone = [i for i, p in enumerate(plain) if not p]
-        order, ids, counts = [], [], []
-        for at in range(0, len(joint), JOINT_WORDS):
-            some = joint[at : at + JOINT_WORDS]
-            got = self._joint([new[i] for i in some])
-            if got is None:
-                alone += some
-            else:
-                order += some
-                ids.append(got[0])
-                counts.append(got[1])
-        single = self._whole([new[i] for i in alone])
-        counts.append(np.fromiter(map(len, single), np.int64, len(single)))
-        ids.append(np.fromiter(chain.from_iterable(single), np.int32, int(counts[-1].sum())))
-        number, lengths = np.concatenate(counts), np.zeros(len(new), np.int64)
-        starts = np.zeros(len(new), np.int64)
-        order += alone
-        lengths[order], starts[order] = number, np.cumsum(number) - number
-        return gather(np.concatenate(ids), starts, lengths), lengths
+        raw = list(map(str.encode, new))
+        blocks = [np.frombuffer(GAP_BYTE.join(raw[at : at + JOINT_PIECES]), np.uint8) for at in range(0, len(raw), JOINT_PIECES)]
+        found = self.joint.encode_batch_fast([self.letters[x].tobytes().decode("utf-32-le") for x in blocks], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        until = np.cumsum(self.size[ids])
+        if len(ids) and until[-1] == ends[-1]:
+            at = np.searchsorted(until, ends)
+            if (until[at] == ends).all():
+                return ids, np.diff(at, prepend=-1)
+        single = self._whole(new)
+        counts = np.fromiter(map(len, single), np.int64, len(single))
+        return np.fromiter(chain.from_iterable(single), np.int32, int(counts.sum())), counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
